@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, exact_dedup, quality, sharding, url_filter
+from . import bpe, chat_format, exact_dedup, ngram_join, quality, sharding, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_chats(turns))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(_table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -78,16 +82,29 @@ select page_id, host, path, rule, coalesce(action, 'allow') as verdict from p le
 """
 
 
+_OP6_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+s as materialized (select distinct doc_id, array_to_string(list_slice(words, i, i + 4), ' ') as shingle from (select doc_id, words, unnest(generate_series(1, greatest(len(words) - 4, least(len(words), 1)))) as i from w)),
+c as materialized (select doc_id, count(*) as n from s group by doc_id),
+l as materialized (select a.doc_id as u, b.doc_id as v from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id join c ca on ca.doc_id = a.doc_id join c cb on cb.doc_id = b.doc_id
+      group by a.doc_id, b.doc_id, ca.n, cb.n having 100 * count(*) >= 80 * (ca.n + cb.n - count(*))),
+r as (select doc_id as node, doc_id as reached from w union select r.node, l.v from r join l on l.u = r.reached)
+select w.doc_id, coalesce(c.n, 0) as n_shingles, m.component_id
+from w left join c using (doc_id) join (select node, min(reached) as component_id from r group by node) m on m.node = w.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_quality": op2_quality,
         "op3_bpe": op3_bpe,
         "op4_chat_format": op4_chat_format,
+        "op6_ngram_join": op6_ngram_join,
         "op8_sharding": op8_sharding,
         "op10_url_filter": op10_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _OP1_SQL, "op4_chat_format": _OP4_SQL, "op10_url_filter": _OP10_SQL}
+    return {"op1_exact_dedup": _OP1_SQL, "op4_chat_format": _OP4_SQL, "op6_ngram_join": _OP6_SQL, "op10_url_filter": _OP10_SQL}
