@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, exact_dedup, ngram_join, quality, sharding, url_filter
+from . import bpe, chat_format, decontaminate, exact_dedup, ngram_join, pii, quality, sharding, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,10 +36,19 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_chats(turns))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.detect(_table(spark, sf_dir, "documents")))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(_table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -82,6 +91,19 @@ select page_id, host, path, rule, coalesce(action, 'allow') as verdict from p le
 """
 
 
+_OP5_SQL = r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+g as (select distinct item_id, array_to_string(list_slice(w, i, i + 9), ' ') as gram, least(len(w), 10) as n
+      from (select item_id, w, unnest(generate_series(1, greatest(len(w) - 9, least(len(w), 1)))) as i from b)),
+m as materialized (select doc_id, item_id, i, n from
+      (select doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') as gram from (select doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) as i from d, (select distinct n from g))) join g using (gram, n)),
+h as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(generate_series(i, i + n - 1)) as p from m) group by doc_id),
+t as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, cast(item_id as varchar) as item from m) group by doc_id)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join h using (doc_id) left join t using (doc_id)
+"""
+
 _OP6_SQL = r"""
 with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
 s as materialized (select distinct doc_id, array_to_string(list_slice(words, i, i + 4), ' ') as shingle from (select doc_id, words, unnest(generate_series(1, greatest(len(words) - 4, least(len(words), 1)))) as i from w)),
@@ -100,11 +122,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality": op2_quality,
         "op3_bpe": op3_bpe,
         "op4_chat_format": op4_chat_format,
+        "op5_decontaminate": op5_decontaminate,
         "op6_ngram_join": op6_ngram_join,
+        "op7_pii": op7_pii,
         "op8_sharding": op8_sharding,
         "op10_url_filter": op10_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _OP1_SQL, "op4_chat_format": _OP4_SQL, "op6_ngram_join": _OP6_SQL, "op10_url_filter": _OP10_SQL}
+    return {"op1_exact_dedup": _OP1_SQL, "op4_chat_format": _OP4_SQL, "op5_decontaminate": _OP5_SQL, "op6_ngram_join": _OP6_SQL, "op10_url_filter": _OP10_SQL}
