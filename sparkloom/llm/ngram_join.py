@@ -244,7 +244,9 @@ class Join:
         summed = partial.groupBy("a", "b").agg(F.sum("part").alias("shared"))
         summed = summed.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
         linked = summed.filter(F.col("shared") * (100 + PERCENT) >= (F.col("na") + F.col("nb")) * PERCENT)
-        return self.work.cut(linked.select(F.col("a").alias("u"), F.col("b").alias("v"), "shared"), f"links-{name}")
+        links = self.work.cut(linked.select(F.col("a").alias("u"), F.col("b").alias("v"), "shared"), f"links-{name}")
+        self.work.drop(f"segments-{name}", f"wanted-{name}")
+        return links
 
     def merge(self, links: DataFrame, name: str) -> None:
         """Adds links to the components: those between old components are solved on their own, then composed."""

@@ -37,6 +37,8 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        # A query's shuffle files go when it ends: what later steps need of it has been written by then.
+        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
     def cut(self, df: DataFrame, table: str) -> DataFrame:
@@ -46,10 +48,15 @@ class Workspace:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
-    def drop(self) -> None:
-        """Delete the folder, once no DataFrame built on it will be read any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
+    def drop(self, *tables: str) -> None:
+        """Delete these tables, once no DataFrame built on them will be read any more; without names, the whole folder."""
+        for table in tables:
+            self._delete(f"{self.path}/{table}")
+        if not tables:
+            self._delete(self.path)
+
+    def _delete(self, path: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
