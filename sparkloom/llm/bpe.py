@@ -23,20 +23,21 @@ from .workspace import small_batches
 
 #: Row-steps one recursive query may keep; a longer word takes several queries, each from where the last one stopped.
 _ROW_STEPS = 4_000_000
-_CACHE_WORDS = 400_000
+#: Words in each of the two generations of a worker's cache.
+_CACHE_WORDS = 300_000
 
+# ``todo`` counts the steps that are left; -1 marks a word at its fixpoint, and its rows leave the recursion.
 _CONTRACT = """
-with recursive state(word, pos, token, step) as (
-  select word, pos, token, 0 from start
+with recursive state(word, pos, token, todo) as (
+  select word, pos, token, $most::integer from start
   union all
-  select n.word, n.pos, n.token, n.step from (
-    with pair as (select word, pos, token, step, lead(token) over w as after, lag(pos) over w as before from state window w as (partition by word order by pos)),
+  select n.* from (
+    with pair as (select word, pos, token, todo, lead(token) over w as after, lag(pos) over w as before from state where todo > 0 window w as (partition by word order by pos)),
          best as (select word, min((m.id::bigint << 32) | pos) as pick from pair join merges m on m.l = pair.token and m.r = pair.after group by word)
-    select pair.word, pair.pos, case when pair.pos = (pick & 4294967295) then (pick >> 32)::integer else pair.token end as token, step + 1 as step
-    from pair join best on pair.word = best.word
-    where (pair.before is null or pair.before <> (pick & 4294967295)) and step < $most) n)
-select word, list(token order by pos) as tokens, any_value(step) as step
-from (select *, max(step) over (partition by word) as last from state) where step = last group by word
+    select pair.word, pair.pos, case when pair.pos = (pick & 4294967295) then (pick >> 32)::integer else pair.token end as token, case when pick is null then -1 else todo - 1 end as todo
+    from pair left join best on pair.word = best.word
+    where pick is null or pair.before is null or pair.before <> (pick & 4294967295)) n)
+select word, list(token order by pos) as tokens, any_value(todo) as todo from state where todo <= 0 group by word
 """
 
 
@@ -51,9 +52,10 @@ class Bpe:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.find = regex.compile(pattern).findall
-        self.byte = [ranks[bytes([i])] for i in range(256)]
+        self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.ranks = ranks
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.db = duckdb.connect()
         self.db.execute("set threads = 1")
         self.db.execute("set memory_limit = '400MB'")
@@ -66,45 +68,50 @@ class Bpe:
         self.db.execute("create table merges as from own_merges")
         self.db.execute("create table vocab as from own_vocab")
 
-    def _contract(self, words: list[list[int]]) -> None:
+    def _contract(self, words: list[np.ndarray]) -> None:
         """Brings each word's tokens to the fixpoint, in place."""
         todo = list(range(len(words)))
         while todo:
             batch, rows = [], 0
-            while todo and (not batch or rows + len(words[todo[-1]]) <= _ROW_STEPS // 16):
+            while todo and (not batch or rows + len(words[todo[-1]]) <= _ROW_STEPS // 4):
                 batch.append(todo.pop())
                 rows += len(words[batch[-1]])
-            sizes = [len(words[i]) for i in batch]
+            sizes = np.array([len(words[i]) for i in batch])
+            begins = np.cumsum(sizes) - sizes
             start = pa.table({
                 "word": pa.array(np.repeat(np.array(batch, np.int32), sizes)),
-                "pos": pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])),
-                "token": pa.array(np.concatenate([np.array(words[i], np.int32) for i in batch])),
+                "pos": pa.array((np.arange(rows) - np.repeat(begins, sizes)).astype(np.int32)),
+                "token": pa.array(np.concatenate([words[i] for i in batch])),
             })
             self.db.register("start", start)
-            most = max(1, _ROW_STEPS // rows)
-            for word, tokens, step in self.db.execute(_CONTRACT, {"most": most}).fetchall():
-                words[word] = tokens
-                if step >= most:
-                    todo.append(word)
+            # Ordinary words end long before; only very long ones need another query.
+            found = self.db.sql(_CONTRACT, params={"most": max(64, _ROW_STEPS // rows)}).to_arrow_table()
             self.db.unregister("start")
+            for part in found.to_batches():
+                tokens, ends = part.column(1).values.to_numpy(), part.column(1).offsets.to_numpy()
+                for word, a, b, left in zip(part.column(0).to_pylist(), ends, ends[1:], part.column(2).to_pylist(), strict=False):
+                    words[word] = tokens[a:b]
+                    if left == 0:
+                        todo.append(word)
 
     def learn(self, words: set[str]) -> None:
-        """Encodes the words that are not in the cache yet."""
-        new = [w for w in words if w not in self.known]
+        """Encodes the words that the cache doesn't hold. Its older half goes when the newer one is full."""
+        new = words - self.known.keys()
+        back = new & self.older.keys()
         if len(self.known) + len(new) > _CACHE_WORDS:
-            self.known.clear()
-            new = list(words)
+            self.older, self.known = self.known, {}
+            new, back = words, words & self.older.keys()
+        self.known.update((w, self.older[w]) for w in back)
+        new = list(new - back) if back else list(new)
         raw = [w.encode("utf-8", "replace") for w in new]
         # A word that is a token itself is that token, whatever its merges would give.
-        whole = [self.ranks.get(b) for b in raw]
+        whole = list(map(self.ranks.get, raw))
         parts = [i for i, r in enumerate(whole) if r is None]
-        tokens = [[self.byte[b] for b in raw[i]] for i in parts]
-        self._contract(tokens)
-        for i, t in zip(parts, tokens, strict=True):
-            self.known[new[i]] = np.array(t, "<u4").tobytes()
-        for w, r in zip(new, whole, strict=True):
-            if r is not None:
-                self.known[w] = r.to_bytes(4, "little")
+        tokens = self.byte[np.frombuffer(b"".join([raw[i] for i in parts]), np.uint8)]
+        split = np.split(tokens, np.cumsum([len(raw[i]) for i in parts])[:-1]) if parts else []
+        self._contract(split)
+        self.known.update((new[i], t.astype("<u4").tobytes()) for i, t in zip(parts, split, strict=True))
+        self.known.update((w, r.to_bytes(4, "little")) for w, r in zip(new, whole, strict=True) if r is not None)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The texts' ids as little-endian unsigned 32-bit integers."""
@@ -140,7 +147,7 @@ def worker(ranks: dict[bytes, int], pattern: str, name: tuple) -> Bpe:
     return _workers[name]
 
 
-def _pieces(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def _pieces(texts: list[str], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``most`` characters."""
     begin, size = 0, 0
     for i, t in enumerate(texts):
