@@ -145,12 +145,16 @@ def _prefixes(classes) -> object:
 
 def _segments(classes, pivots: np.ndarray) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             node, frag, seg = [], [], []
             for text, want, sig in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if want in seen:  # a repeated row
+                    continue
                 keys = ordered(shingles(text), classes.value)
                 if _signature(keys) != sig:  # another text under the same id
                     continue
+                seen.add(want)
                 for f, part in enumerate(np.split(keys, np.searchsorted(keys, pivots))):
                     if len(part):
                         node.append(want)
@@ -178,18 +182,22 @@ class Join:
         self.texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
         self.kind = self.texts.schema["id"].dataType.simpleString()
         self.classes = self.spark.sparkContext.broadcast(frequency_classes(self.texts.select("text")))
-        self.rows = self.work.cut(self.texts.mapInArrow(_prefixes(self.classes), f"id {self.kind}, n long, sig string, prefix array<long>"), "rows")
-        nodes = self.rows.filter(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("prefix", ignorenulls=True).alias("prefix"))
+        self.prefixes = self.work.cut(self.texts.mapInArrow(_prefixes(self.classes), f"id {self.kind}, n long, sig string, prefix array<long>"), "prefixes")
+        self.rows = self.work.cut(self.prefixes.select("id", "n", "sig"), "rows")
+        nodes = self.rows.filter(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("id").alias("first_id"), F.first("n").alias("n"))
         self.nodes = self.work.cut(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
         self.tested: DataFrame | None = None
         self.comps: DataFrame | None = None
         self.links: list[DataFrame] = []
 
     def shared(self) -> DataFrame:
-        """Prefix keys that several nodes have, one row per node and key."""
-        spread = self.nodes.select("node", "n", F.posexplode("prefix").alias("pos", "key"))
+        """Prefix keys that several nodes have, one row per node and key. Each task sent a set's prefix once, so a node has
+        few rows of a key that are alike."""
+        spread = self.prefixes.filter(F.col("prefix").isNotNull()).join(self.nodes.select("sig", "node"), "sig").select("node", "n", F.posexplode("prefix").alias("pos", "key"))
         several = spread.withColumn("least", F.min("node").over(w := Window.partitionBy("key"))).withColumn("most", F.max("node").over(w))
-        return self.work.cut(several.filter("least <> most").select("key", "node", "n", "pos"), "shared")
+        shared = self.work.cut(several.filter("least <> most").select("key", "node", "n", "pos").distinct(), "shared")
+        self.work.drop("prefixes")
+        return shared
 
     def with_comps(self, shared: DataFrame) -> DataFrame:
         if self.comps is None:
@@ -235,15 +243,28 @@ class Join:
         # Pivots: equal parts of the rare keys' hash space, and the frequent keys.
         top = 1 << (64 - _CLASS_BITS)
         pivots = np.array([top * i // (self.fragments - 1) for i in range(1, self.fragments)], np.uint64)
-        segments = texts.mapInArrow(_segments(self.classes, pivots), "node long, frag int, seg array<long>").groupBy("node", "frag").agg(F.first("seg").alias("seg"))
+        segments = texts.mapInArrow(_segments(self.classes, pivots), "node long, frag int, seg array<long>")
         segments = self.work.cut(segments, f"segments-{name}")
-        a = segments.select(F.col("node").alias("a"), "frag", F.col("seg").alias("sa"))
-        b = segments.select(F.col("node").alias("b"), "frag", F.col("seg").alias("sb"))
-        partial = pairs.join(a, "a").join(b, ["b", "frag"]).select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("part"))
         sizes = wanted.select("node", "n")
-        summed = partial.groupBy("a", "b").agg(F.sum("part").alias("shared"))
-        summed = summed.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-        linked = summed.filter(F.col("shared") * (100 + PERCENT) >= (F.col("na") + F.col("nb")) * PERCENT)
+        pairs = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+        enough = (F.col("na") + F.col("nb")) * PERCENT
+
+        def side(of: str, which: Column) -> DataFrame:
+            return segments.filter(which).select(F.col("node").alias(of), "frag", F.col("seg").alias(f"s{of}"))
+
+        # The first fragment for all pairs. Most candidates that share a passage only are out of reach after it.
+        zero = F.col("frag") == 0
+        first = pairs.join(side("a", zero).drop("frag"), "a", "left").join(side("b", zero).drop("frag"), "b", "left")
+        none = F.array().cast("array<bigint>")
+        sa, sb = F.coalesce("sa", none), F.coalesce("sb", none)
+        first = first.select("a", "b", "na", "nb", F.size(F.array_intersect(sa, sb)).cast("long").alias("part"), F.least(F.col("na") - F.size(sa), F.col("nb") - F.size(sb)).alias("rest"))
+        alive = self.work.cut(first.filter((F.col("part") + F.col("rest")) * (100 + PERCENT) >= enough).drop("rest"), f"alive-{name}")
+        # The other fragments for those that are left; a pair's overlap is the sum over its fragments.
+        rest = alive.join(side("a", ~zero), "a").join(side("b", ~zero), ["b", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("part"), "frag")
+        parts = alive.withColumn("frag", F.lit(0)).select("a", "b", "na", "nb", "part", "frag").unionByName(rest)
+        # Repeated rows of the table give a fragment's count several times.
+        summed = parts.groupBy("a", "b", "na", "nb", "frag").agg(F.max("part").alias("part")).groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("shared"))
+        linked = summed.filter(F.col("shared") * (100 + PERCENT) >= enough)
         links = self.work.cut(linked.select(F.col("a").alias("u"), F.col("b").alias("v"), "shared"), f"links-{name}")
         self.work.drop(f"segments-{name}", f"wanted-{name}")
         return links
