@@ -214,3 +214,15 @@ def dedup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         (F.col("row_id") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"),
     )
 
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input's rows, all columns, without those that ``dedup_groups`` doesn't keep."""
+    groups = Workspace(docs.sparkSession, "without-copies").cut(dedup_groups(docs, id_col, text_col), "groups")
+    stay = groups.filter("kept").select(F.col(id_col).alias("__stay_id"), F.col("text_sha256").alias("__stay_sha"))
+    normal = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), SPACE.decode(), "")
+    marked = docs.withColumn("__sha", F.sha2(normal.cast("binary"), 256))
+    kept = marked.join(stay, F.col(id_col).eqNullSafe(F.col("__stay_id")) & (F.col("__sha") == F.col("__stay_sha")), "left_semi")
+    # Rows that agree in id and text are told apart only if there are any: it would shuffle the texts once more.
+    repeated = groups.groupBy(id_col, "text_sha256").agg(F.count("*").alias("n")).filter("n > 1")
+    return (kept if repeated.isEmpty() else kept.dropDuplicates([id_col, "__sha"])).drop("__sha")

@@ -187,3 +187,17 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col:
 
     out = measured.select("_id", "stats").mapInPandas(run, "_id string, score double, predicted int")
     return out.select(F.col("_id").cast(docs.schema[id_col].dataType).alias(id_col), held_out(F.col("_id")).alias("held_out"), "score", "predicted")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input's rows, all columns, that ``classify`` predicts to be good. Texts are measured once more in place
+    rather than shuffled to meet their scores."""
+    model = fit(Workspace(docs.sparkSession, "quality").cut(measure(docs, id_col, text_col), "measured"), labels)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stats = np.array([statistics(t or "") for t in batch.column(at).to_pylist()], float).reshape(-1, len(STATISTICS))
+            yield batch.filter(pa.array(model.score(stats) >= threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
