@@ -1,7 +1,7 @@
 """Similarity self-join on word shingles by vertical partitioning of a global shingle order.
 
-1. Shingles are ordered globally by frequency class (from counts over all documents), then by hash. A shingle's key holds
-   both, so that sorting keys is sorting by the global order.
+1. Shingles are ordered globally by frequency class (from counts over all documents, sixteen classes to a doubling), then
+   by hash. A shingle's key holds both, so that sorting keys is sorting by the global order.
 2. Rows with equal shingle sets form one node. Two nodes can only reach the threshold if their prefixes (the rarest
    shingles, about a fifth of a set) share a key.
 3. A candidate pair's overlap is counted by fragments: the order is cut at fixed pivots, a fragment's segments of both
@@ -28,9 +28,9 @@ from .workspace import Workspace, fits, small_batches
 
 WORDS, PERCENT = 5, 80
 #: Cells of the frequency sketch: 2**CELL_BITS counters, whatever the corpus.
-CELL_BITS = 20
+CELL_BITS = 22
 #: The top bits of a key hold the frequency class.
-_CLASS_BITS = 6
+_CLASS_BITS = 8
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -77,11 +77,13 @@ def prefix_size(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1 if n else 0
 
 
-def frequency_classes(texts: DataFrame) -> np.ndarray:
-    """Per cell of the hash space, 0 for what chance alone explains and else about the logarithm of its excess.
+def frequency_classes(texts: DataFrame, fragments: int) -> tuple[np.ndarray, np.ndarray]:
+    """The frequency class of every cell of the hash space, and the pivots that cut the order into fragments of about
+    equal mass.
 
     All shingles of all documents are counted. Tasks send one compressed sketch each; they are added by at most 16 tasks,
-    and the driver adds those.
+    and the driver adds those. A class is a sixteenth of a doubling above or below the usual cell: shingles that even a
+    few dozen documents share come after those of one document.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,10 +105,11 @@ def frequency_classes(texts: DataFrame) -> np.ndarray:
     total = np.zeros(1 << CELL_BITS, np.int64)
     for r in sketches.collect():
         total += _unblob(r["sketch"])
-    base = float(np.median(total))
-    noise = base + 6 * np.sqrt(base) + 8
-    excess = np.maximum(total - noise, 0)
-    return np.where(excess > 0, np.minimum(1 + np.log2(excess + 1).astype(int), 30), 0).astype(np.uint8)
+    base = float(np.median(total)) + 1
+    classes = np.clip(np.round(64 + 16 * np.log2((total + 1) / base)), 0, 255).astype(np.uint8)
+    mass = np.cumsum(np.bincount(classes, total, minlength=256))
+    cuts = np.minimum(np.searchsorted(mass, mass[-1] * np.arange(1, fragments) / fragments) + 1, 255)
+    return classes, cuts.astype(np.uint64) << np.uint64(64 - _CLASS_BITS)
 
 
 def _blob(total: np.ndarray) -> pa.RecordBatch:
@@ -181,7 +184,8 @@ class Join:
         self.fragments, self.broadcast_rows = fragments, broadcast_rows
         self.texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
         self.kind = self.texts.schema["id"].dataType.simpleString()
-        self.classes = self.spark.sparkContext.broadcast(frequency_classes(self.texts.select("text")))
+        classes, self.pivots = frequency_classes(self.texts.select("text"), fragments)
+        self.classes = self.spark.sparkContext.broadcast(classes)
         self.prefixes = self.work.cut(self.texts.mapInArrow(_prefixes(self.classes), f"id {self.kind}, n long, sig string, prefix array<long>"), "prefixes")
         self.rows = self.work.cut(self.prefixes.select("id", "n", "sig"), "rows")
         nodes = self.rows.filter(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("id").alias("first_id"), F.first("n").alias("n"))
@@ -240,10 +244,7 @@ class Join:
         side = wanted.select("node", "first_id", "sig")
         side = F.broadcast(side) if fits(wanted, self.broadcast_rows) else side
         texts = self.texts.join(side, F.col("id").eqNullSafe(F.col("first_id"))).select("text", "node", "sig")
-        # Pivots: equal parts of the rare keys' hash space, and the frequent keys.
-        top = 1 << (64 - _CLASS_BITS)
-        pivots = np.array([top * i // (self.fragments - 1) for i in range(1, self.fragments)], np.uint64)
-        segments = texts.mapInArrow(_segments(self.classes, pivots), "node long, frag int, seg array<long>")
+        segments = texts.mapInArrow(_segments(self.classes, self.pivots), "node long, frag int, seg array<long>")
         segments = self.work.cut(segments, f"segments-{name}")
         sizes = wanted.select("node", "n")
         pairs = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
