@@ -87,11 +87,10 @@ def frequency_classes(texts: DataFrame, fragments: int) -> tuple[np.ndarray, np.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << CELL_BITS, np.int64)
+        total = np.zeros(1 << CELL_BITS, np.uint32)
         for batch in batches:
-            found = [shingles(t) for t in batch.column(0).to_pylist()]
-            if found:
-                total += np.bincount(_cells(np.concatenate(found)), minlength=1 << CELL_BITS)
+            for t in batch.column(0).to_pylist():
+                np.add.at(total, _cells(shingles(t)), 1)
         yield _blob(total)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,13 +124,19 @@ def _signature(keys: np.ndarray) -> str | None:
     return hashlib.blake2b(keys.tobytes(), digest_size=16).hexdigest() if len(keys) else None
 
 
+def _parity(keys: np.ndarray) -> np.ndarray:
+    """For each of 512 parts of the hash space, whether an odd number of a set's keys fall into it, as eight words."""
+    odd = np.bincount((keys & np.uint64(511)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _prefixes(classes) -> object:
-    schema = pa.schema([("n", pa.int64()), ("sig", pa.string()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("n", pa.int64()), ("sig", pa.string()), ("prefix", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[str] = set()  # copies that this task has met before need no prefix again
         for batch in batches:
-            n, sig, prefix = [], [], []
+            n, sig, prefix, parity = [], [], [], []
             if len(seen) > 500_000:
                 seen.clear()
             for t in batch.column(1).to_pylist():
@@ -140,8 +145,9 @@ def _prefixes(classes) -> object:
                 n.append(len(keys))
                 sig.append(s)
                 prefix.append(None if s is None or s in seen else keys[: prefix_size(len(keys))].astype(np.int64))
+                parity.append(None if s is None else _parity(keys))
                 seen.add(s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.string()), pa.array(prefix, pa.list_(pa.int64()))], names=["id", *schema.names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, f.type) for c, f in zip((n, sig, prefix, parity), schema, strict=True)]], names=["id", *schema.names])
 
     return run
 
@@ -150,7 +156,7 @@ def _segments(classes, pivots: np.ndarray) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            node, frag, seg = [], [], []
+            node, first, others = [], [], []
             for text, want, sig in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if want in seen:  # a repeated row
                     continue
@@ -158,12 +164,12 @@ def _segments(classes, pivots: np.ndarray) -> object:
                 if _signature(keys) != sig:  # another text under the same id
                     continue
                 seen.add(want)
-                for f, part in enumerate(np.split(keys, np.searchsorted(keys, pivots))):
-                    if len(part):
-                        node.append(want)
-                        frag.append(f)
-                        seg.append(part.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(frag, pa.int32()), pa.array(seg, pa.list_(pa.int64()))], names=["node", "frag", "seg"])
+                parts = [p.astype(np.int64) for p in np.split(keys, np.searchsorted(keys, pivots))]
+                node.append(want)
+                first.append(parts[0])
+                others.append(parts[1:])
+            keys_type = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(first, keys_type), pa.array(others, pa.list_(keys_type))], names=["node", "first", "others"])
 
     return run
 
@@ -174,6 +180,13 @@ def _may_reach(na: Column, nb: Column, i: Column, j: Column) -> Column:
     return enough & ((F.least(na - i, nb - j)) * (100 + PERCENT) >= (na + nb) * PERCENT)
 
 
+def _differ_little(na: Column, nb: Column, pa_: Column, pb: Column) -> Column:
+    """Parity filter: each part whose parity differs holds a key that only one set has. A linked pair has at most
+    (na + nb) / 9 such keys, so this tells members of a large group of near copies apart without reading them."""
+    apart = sum((F.bit_count(pa_[i].bitwiseXOR(pb[i])) for i in range(1, 8)), F.bit_count(pa_[0].bitwiseXOR(pb[0])))
+    return apart * (100 + PERCENT) <= (na + nb) * (100 - PERCENT)
+
+
 class Join:
     """One run of the join over (id, text) rows."""
 
@@ -186,9 +199,9 @@ class Join:
         self.kind = self.texts.schema["id"].dataType.simpleString()
         classes, self.pivots = frequency_classes(self.texts.select("text"), fragments)
         self.classes = self.spark.sparkContext.broadcast(classes)
-        self.prefixes = self.work.cut(self.texts.mapInArrow(_prefixes(self.classes), f"id {self.kind}, n long, sig string, prefix array<long>"), "prefixes")
+        self.prefixes = self.work.cut(self.texts.mapInArrow(_prefixes(self.classes), f"id {self.kind}, n long, sig string, prefix array<long>, parity array<long>"), "prefixes")
         self.rows = self.work.cut(self.prefixes.select("id", "n", "sig"), "rows")
-        nodes = self.rows.filter(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("id").alias("first_id"), F.first("n").alias("n"))
+        nodes = self.prefixes.filter(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("parity").alias("parity"))
         self.nodes = self.work.cut(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
         self.tested: DataFrame | None = None
         self.comps: DataFrame | None = None
@@ -225,18 +238,21 @@ class Join:
         """
         rows = self.with_comps(shared)
         mixed = rows.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count("*").alias("comps")).filter("comps > 1").drop("comps")
-        rows = self.work.cut(rows.join(mixed, "key"), "mixed")
+        rows = self.work.cut(rows.join(mixed, "key").join(self.nodes.select("node", "parity"), "node"), "mixed")
         o, x = rows.filter("comp <> major").alias("o"), rows.alias("x")
         differ = (F.col("o.comp") != F.col("x.comp")) & ((F.col("x.comp") == F.col("x.major")) | (F.col("o.node") < F.col("x.node")))
         reach = _may_reach(F.col("o.n"), F.col("x.n"), F.col("o.pos"), F.col("x.pos"))
-        return o.join(x, (F.col("o.key") == F.col("x.key")) & differ & reach).select(F.least("o.node", "x.node").alias("a"), F.greatest("o.node", "x.node").alias("b"))
+        parts = _differ_little(F.col("o.n"), F.col("x.n"), F.col("o.parity"), F.col("x.parity"))
+        return o.join(x, (F.col("o.key") == F.col("x.key")) & differ & reach & parts).select(F.least("o.node", "x.node").alias("a"), F.greatest("o.node", "x.node").alias("b"))
 
     def test(self, pairs: DataFrame, name: str) -> DataFrame:
         """Counts the pairs' overlaps by fragments and returns the links (u, v, shared)."""
         pairs = pairs.distinct()
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = self.work.cut(pairs, f"pairs-{name}")
+        a, b = (self.nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"h{x}")) for x in "ab")
+        near = pairs.join(a, "a").join(b, "b").filter(_differ_little(F.col("na"), F.col("nb"), F.col("ha"), F.col("hb")))
+        pairs = self.work.cut(near.select("a", "b"), f"pairs-{name}")
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
         both = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         wanted = self.work.cut(both.join(self.nodes.select("node", "first_id", "sig", "n"), "node"), f"wanted-{name}")
@@ -244,28 +260,25 @@ class Join:
         side = wanted.select("node", "first_id", "sig")
         side = F.broadcast(side) if fits(wanted, self.broadcast_rows) else side
         texts = self.texts.join(side, F.col("id").eqNullSafe(F.col("first_id"))).select("text", "node", "sig")
-        segments = texts.mapInArrow(_segments(self.classes, self.pivots), "node long, frag int, seg array<long>")
+        segments = texts.mapInArrow(_segments(self.classes, self.pivots), "node long, first array<long>, others array<array<long>>")
         segments = self.work.cut(segments, f"segments-{name}")
         sizes = wanted.select("node", "n")
         pairs = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
         enough = (F.col("na") + F.col("nb")) * PERCENT
 
-        def side(of: str, which: Column) -> DataFrame:
-            return segments.filter(which).select(F.col("node").alias(of), "frag", F.col("seg").alias(f"s{of}"))
+        def side(of: str, column: str) -> DataFrame:
+            return segments.select(F.col("node").alias(of), F.col(column).alias(f"s{of}"))
 
         # The first fragment for all pairs. Most candidates that share a passage only are out of reach after it.
-        zero = F.col("frag") == 0
-        first = pairs.join(side("a", zero).drop("frag"), "a", "left").join(side("b", zero).drop("frag"), "b", "left")
-        none = F.array().cast("array<bigint>")
-        sa, sb = F.coalesce("sa", none), F.coalesce("sb", none)
-        first = first.select("a", "b", "na", "nb", F.size(F.array_intersect(sa, sb)).cast("long").alias("part"), F.least(F.col("na") - F.size(sa), F.col("nb") - F.size(sb)).alias("rest"))
-        alive = self.work.cut(first.filter((F.col("part") + F.col("rest")) * (100 + PERCENT) >= enough).drop("rest"), f"alive-{name}")
-        # The other fragments for those that are left; a pair's overlap is the sum over its fragments.
-        rest = alive.join(side("a", ~zero), "a").join(side("b", ~zero), ["b", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("part"), "frag")
-        parts = alive.withColumn("frag", F.lit(0)).select("a", "b", "na", "nb", "part", "frag").unionByName(rest)
-        # Repeated rows of the table give a fragment's count several times.
-        summed = parts.groupBy("a", "b", "na", "nb", "frag").agg(F.max("part").alias("part")).groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("shared"))
-        linked = summed.filter(F.col("shared") * (100 + PERCENT) >= enough)
+        part = F.size(F.array_intersect("sa", "sb")).cast("long")
+        rest = F.least(F.col("na") - F.size("sa"), F.col("nb") - F.size("sb"))
+        first = pairs.join(side("a", "first"), "a").join(side("b", "first"), "b").withColumn("part", part)
+        alive = self.work.cut(first.filter((F.col("part") + rest) * (100 + PERCENT) >= enough).select("a", "b", "na", "nb", "part").distinct(), f"alive-{name}")
+        # The other fragments, one by one, for those that are left; a pair's overlap is the sum over its fragments.
+        counts = F.zip_with("sa", "sb", lambda x, y: F.size(F.array_intersect(x, y)))
+        others = F.aggregate(counts, F.lit(0).cast("long"), lambda s, n: s + n)
+        summed = alive.join(side("a", "others"), "a").join(side("b", "others"), "b").select("a", "b", "na", "nb", (F.col("part") + others).alias("shared"))
+        linked = summed.filter(F.col("shared") * (100 + PERCENT) >= enough).distinct()  # repeated rows of the table were tested twice
         links = self.work.cut(linked.select(F.col("a").alias("u"), F.col("b").alias("v"), "shared"), f"links-{name}")
         self.work.drop(f"segments-{name}", f"wanted-{name}")
         return links
