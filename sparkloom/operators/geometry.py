@@ -183,7 +183,7 @@ def grid_components(cells: DataFrame) -> DataFrame:
                         queue.append(near)
         return pd.DataFrame(out, columns=["row", "col", "component"])
 
-    return cells.select("row", "col").groupBy(F.lit(1)).applyInPandas(label, "row int, col int, component int")
+    return cells.select("row", "col").groupBy(F.lit(1).alias("one")).applyInPandas(label, "row int, col int, component int")
 
 
 def contour_segments(density: DataFrame, level: float) -> DataFrame:
@@ -230,7 +230,7 @@ def agglomerative(dist: DataFrame, k: int, linkage: str = "average") -> DataFram
             group = [i if g == j else g for g in group]
         return pd.DataFrame({"id": ids, "cluster": [ids[g] for g in group]})
 
-    return dist.select("a", "b", "d").groupBy(F.lit(1)).applyInPandas(run, "id long, cluster long")
+    return dist.select("a", "b", "d").groupBy(F.lit(1).alias("one")).applyInPandas(run, "id long, cluster long")
 
 
 def soft_membership(scores: DataFrame, threshold: float) -> DataFrame:
