@@ -26,18 +26,20 @@ _ROW_STEPS = 4_000_000
 #: Words in each of the two generations of a worker's cache.
 _CACHE_WORDS = 300_000
 
-# ``todo`` counts the steps that are left; -1 marks a word at its fixpoint, and its rows leave the recursion.
+# ``place`` is the word's number and the position in it; ``todo`` counts the steps that are left, and -1 marks a word at its
+# fixpoint, whose rows leave the recursion.
 _CONTRACT = """
-with recursive state(word, pos, token, todo) as (
-  select word, pos, token, $most::integer from start
+with recursive state(place, token, todo) as (
+  select place, token, $most::integer from start
   union all
   select n.* from (
-    with pair as (select word, pos, token, todo, lead(token) over w as after, lag(pos) over w as before from state where todo > 0 window w as (partition by word order by pos)),
-         best as (select word, min((m.id::bigint << 32) | pos) as pick from pair join merges m on m.l = pair.token and m.r = pair.after group by word)
-    select pair.word, pair.pos, case when pair.pos = (pick & 4294967295) then (pick >> 32)::integer else pair.token end as token, case when pick is null then -1 else todo - 1 end as todo
-    from pair left join best on pair.word = best.word
-    where pick is null or pair.before is null or pair.before <> (pick & 4294967295)) n)
-select word, list(token order by pos) as tokens, any_value(todo) as todo from state where todo <= 0 group by word
+    with pair as (select place, token, todo, case when (lead(place) over w >> 32) = (place >> 32) then (token::bigint << 32) | lead(token) over w end as joint, lag(place) over w as before
+                  from state where todo > 0 window w as (order by place)),
+         best as (select (place >> 32) as word, min(m.ranked | (place & 4294967295)) as pick from pair join merges m on m.joint = pair.joint group by 1)
+    select pair.place, case when (pair.place & 4294967295) = (pick & 4294967295) then (pick >> 32)::integer else pair.token end as token, case when pick is null then -1 else todo - 1 end as todo
+    from pair left join best on (pair.place >> 32) = best.word
+    where pick is null or pair.before is null or (pair.before >> 32) <> (pair.place >> 32) or (pair.before & 4294967295) <> (pick & 4294967295)) n)
+select (place >> 32)::integer as word, list(token order by place) as tokens, any_value(todo) as todo from state where todo <= 0 group by 1
 """
 
 
@@ -58,14 +60,14 @@ class Bpe:
         self.older: dict[str, bytes] = {}
         self.db = duckdb.connect()
         self.db.execute("set threads = 1")
-        self.db.execute("set memory_limit = '400MB'")
+        self.db.execute("set memory_limit = '300MB'")
         self.db.execute("set temp_directory = ''")
         merges = [(ranks[b[:i]], ranks[b[i:]], r) for b, r in ranks.items() for i in range(1, len(b)) if b[:i] in ranks and b[i:] in ranks]
         own_merges = pa.table([pa.array(c, pa.int32()) for c in zip(*merges, strict=True)] if merges else [pa.array([], pa.int32())] * 3, names=["l", "r", "id"])
         own_vocab = pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [b.hex() for b in ranks]})
         self.db.register("own_merges", own_merges)
         self.db.register("own_vocab", own_vocab)
-        self.db.execute("create table merges as from own_merges")
+        self.db.execute("create table merges as select (l::bigint << 32) | r as joint, id::bigint << 32 as ranked from own_merges")
         self.db.execute("create table vocab as from own_vocab")
 
     def _contract(self, words: list[np.ndarray]) -> None:
@@ -73,14 +75,13 @@ class Bpe:
         todo = list(range(len(words)))
         while todo:
             batch, rows = [], 0
-            while todo and (not batch or rows + len(words[todo[-1]]) <= _ROW_STEPS // 4):
+            while todo and (not batch or rows + len(words[todo[-1]]) <= _ROW_STEPS // 8):
                 batch.append(todo.pop())
                 rows += len(words[batch[-1]])
             sizes = np.array([len(words[i]) for i in batch])
             begins = np.cumsum(sizes) - sizes
             start = pa.table({
-                "word": pa.array(np.repeat(np.array(batch, np.int32), sizes)),
-                "pos": pa.array((np.arange(rows) - np.repeat(begins, sizes)).astype(np.int32)),
+                "place": pa.array(np.repeat(np.array(batch, np.int64) << 32, sizes) | (np.arange(rows) - np.repeat(begins, sizes))),
                 "token": pa.array(np.concatenate([words[i] for i in batch])),
             })
             self.db.register("start", start)
@@ -147,7 +148,7 @@ def worker(ranks: dict[bytes, int], pattern: str, name: tuple) -> Bpe:
     return _workers[name]
 
 
-def _pieces(texts: list[str], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def _pieces(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``most`` characters."""
     begin, size = 0, 0
     for i, t in enumerate(texts):
