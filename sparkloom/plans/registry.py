@@ -12,7 +12,7 @@ from .catalogue import Catalogue
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: One module per section of the operator inventory.
-MODULES = ("q_filters", "q_joins", "q_aggregates", "q_windows", "q_topk", "q_sets", "q_similarity", "q_evaluation", "q_geometry", "q_sources", "q_parsing", "q_quality", "q_text", "q_recommend", "q_resolve")
+MODULES = ("q_filters", "q_joins", "q_aggregates", "q_windows", "q_topk", "q_sets", "q_similarity", "q_evaluation", "q_geometry", "q_sources", "q_parsing", "q_quality", "q_text", "q_recommend", "q_resolve", "q_extra")
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
