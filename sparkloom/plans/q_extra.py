@@ -44,7 +44,7 @@ def _(c):
     return rows.groupBy(base.alias("base")).agg(F.array_join(F.array_sort(F.collect_set(F.split_part("p_name", F.lit(" "), F.lit(2)))), "|").alias("materials"))
 
 
-@query("xtr04_singular_forms", "select distinct split_part(p_name, ' ', 2) as word, 3::bigint as forms from part")
+@query("xtr04_singular_forms", "select distinct split_part(p_name, ' ', 2) as word, case when p_name like '%e' then 4 else 3 end::bigint as forms from part")
 def _(c):
     w = c.table("part").select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("word")).distinct()
     low = F.concat("word", F.lit("s"))
@@ -299,3 +299,10 @@ def _(c):
 @query("xtr40_list_lengths", twin("feat tok", BLEND + " select q, count(*) as n from lists group by 1"))
 def _(c):
     return lists(c).groupBy("q").agg(F.count("*").alias("n"))
+
+
+@query("xtr41_retention", "select event_type, count(*) filter (where ts >= (select max(ts) from events) - interval 10 day) as kept, count(*) as n from events group by 1")
+def _(c):
+    last = F.broadcast(c.table("events").agg(F.max("ts").alias("last")))
+    kept = F.count_if(F.col("ts") >= F.col("last") - F.expr("interval 10 days"))
+    return c.table("events").crossJoin(last).groupBy("event_type").agg(kept.alias("kept"), F.count("*").alias("n"))
