@@ -167,7 +167,7 @@ def _owner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
-def dedup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 8 << 20, cache_bytes: int = 48 << 20, max_depth: int = 18) -> DataFrame:
+def dedup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 8 << 20, cache_bytes: int = 24 << 20, max_depth: int = 18) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after deleting ``[\\x20\\x09-\\x0D]``. The row with the most code points in its

@@ -46,7 +46,7 @@ class Vocabulary:
 
     def slots(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Per token, its word's slot and the slot of it with the word before (a mark before the first)."""
-        if len(_words) > 1_000_000:
+        if len(_words) > 150_000:
             _words.clear()
         found = (text or "").encode("utf-8", "surrogatepass").lower().split()
         h = np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))

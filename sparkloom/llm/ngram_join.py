@@ -45,7 +45,7 @@ _words = _Words()
 
 def shingles(text: str | None) -> np.ndarray:
     """64-bit hashes of the text's word n-grams, in order of occurrence, repeats included."""
-    if len(_words) > 1_000_000:
+    if len(_words) > 150_000:
         _words.clear()
     # bytes.lower() and bytes.split() touch A-Z and [\x20\x09-\x0D] only.
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -137,7 +137,7 @@ def _prefixes(classes) -> object:
         seen: set[str] = set()  # copies that this task has met before need no prefix again
         for batch in batches:
             n, sig, prefix, parity = [], [], [], []
-            if len(seen) > 500_000:
+            if len(seen) > 100_000:
                 seen.clear()
             for t in batch.column(1).to_pylist():
                 keys = ordered(shingles(t), classes.value)
