@@ -29,10 +29,10 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
 
 def auc(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
-    """P(score of a positive > score of a negative) + half the ties, per group, from average ranks."""
+    """P(score of a positive > score of a negative) + half the ties, per group, from average ranks; null without both."""
     ranked = average_rank(df, score, by, "_r")
     pos, n = F.sum(F.col(label).cast("double")), F.count("*")
-    return ranked.groupBy(*by).agg(((F.sum(F.when(F.col(label) == 1, F.col("_r"))) - pos * (pos + 1) / 2) / (pos * (n - pos))).alias("auc"))
+    return ranked.groupBy(*by).agg(F.try_divide(F.sum(F.when(F.col(label) == 1, F.col("_r"))) - pos * (pos + 1) / 2, pos * (n - pos)).alias("auc"))
 
 
 def quadratic_kappa(df: DataFrame, a: str, b: str, levels: int) -> DataFrame:

@@ -26,5 +26,5 @@ def ridge_cv_r2(df: DataFrame, id_col: str, folds: int, ridge: float) -> DataFra
         beta = np.linalg.solve(fit[:-1, :-1] + penalty, fit[:-1, -1])
         full = np.append(beta, -1.0)
         total = held[-1, -1] - held[0, -1] ** 2 / held[0, 0]
-        out.append((int(f), round(float(1 - full @ held @ full / total), 6)))
+        out.append((int(f), round(float(1 - full @ held @ full / total), 6) if total > 0 else None))
     return df.sparkSession.createDataFrame(out, "fold int, r2 double")

@@ -21,11 +21,11 @@ def _(c):
     return similarity.idf(c.tok).select("token", "df", F.round("idf", 6).alias("idf"))
 
 
-@query("agg03_feature_dictionary", twin("feat", ", n as (select count(distinct item) as n from feat) select feature, count(*) as items, round(count(*) / n, 6) as share, round(avg(strength), 4) as mean, round(median(strength), 6) as median, round(stddev_pop(strength), 4) as sd from feat, n group by feature, n"))
+@query("agg03_feature_dictionary", twin("feat", ", n as (select count(distinct item) as n from feat) select feature, count(*) as items, round(count(*) / n, 6) as share, round(avg(strength), 6) as mean, round(median(strength), 6) as median, round(stddev_pop(strength), 6) as sd from feat, n group by feature, n"))
 def _(c):
     n = F.broadcast(c.feat.agg(F.count_distinct("item").alias("n")))
     return c.feat.crossJoin(n).groupBy("feature").agg(
-        F.count("*").alias("items"), F.round(F.count("*") / F.max("n"), 6).alias("share"), F.round(F.avg("strength"), 4).alias("mean"), F.round(F.median("strength"), 6).alias("median"), F.round(F.stddev_pop("strength"), 4).alias("sd"))
+        F.count("*").alias("items"), F.round(F.count("*") / F.max("n"), 6).alias("share"), F.round(F.avg("strength"), 6).alias("mean"), F.round(F.median("strength"), 6).alias("median"), F.round(F.stddev_pop("strength"), 6).alias("sd"))
 
 
 @query("agg04_distribution", "select o_orderpriority, count(*) as n, round(avg(o_totalprice), 2) as mean, round(quantile_cont(o_totalprice, 0.25), 2) as q25, round(quantile_cont(o_totalprice, 0.5), 2) as q50, round(quantile_cont(o_totalprice, 0.75), 2) as q75, min(o_totalprice) as low, max(o_totalprice) as high from orders group by 1")

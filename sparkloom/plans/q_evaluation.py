@@ -119,10 +119,10 @@ def _(c):
     return ranking.row_rank(x, ["q"], [F.desc(F.coalesce("good", F.lit(False))), "old"]).select("q", "item", "rank")
 
 
-@query("evl11_best_row", twin("feat tok edge pair pop", BLEND + _REL + _METRIC_SQL + " , s as (select method, k, round(avg(ndcg), 6) as ndcg, round(avg(recall), 6) as recall from me group by 1, 2) select * from s order by ndcg desc, recall desc, k limit 1"))
+@query("evl11_best_row", twin("feat tok edge pair pop", BLEND + _REL + _METRIC_SQL + " , s as (select method, k, round(avg(ndcg), 6) as ndcg, round(avg(recall), 6) as recall from me group by 1, 2) select * from s order by ndcg desc, recall desc, k, method limit 1"))
 def _(c):
     s = measured(c).groupBy("method", "k").agg(F.round(F.avg("ndcg"), 6).alias("ndcg"), F.round(F.avg("recall"), 6).alias("recall"))
-    return s.orderBy(F.desc("ndcg"), F.desc("recall"), "k").limit(1)
+    return s.orderBy(F.desc("ndcg"), F.desc("recall"), "k", "method").limit(1)
 
 
 @query("evl12_explainable", twin("feat tok edge pair", BLEND + ", k as (select q, item from lists where rank <= 10) select round(avg(case when exists (select 1 from tok a join tok b using (token) where a.item = k.q and b.item = k.item) then 1.0 else 0 end), 6) as share_note, count(*) as pairs from k"))

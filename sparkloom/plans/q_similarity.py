@@ -239,7 +239,7 @@ def _(c):
     return stats.spearman(c.table("part"), "p_size", "p_retailprice", ["p_brand"]).select("p_brand", F.round("rho", 6).alias("rho"))
 
 
-@query("sim22_auc", "with d as (select lang, n_chars, quality as y from documents join labels using (doc_id)), r as (select lang, y, rank() over (partition by lang order by n_chars) + (count(*) over (partition by lang, n_chars) - 1) / 2 as r from d) select lang, round((sum(r) filter (where y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))), 6) as auc from r group by 1")
+@query("sim22_auc", "with d as (select lang, n_chars, quality as y from documents join labels using (doc_id)), r as (select lang, y, rank() over (partition by lang order by n_chars) + (count(*) over (partition by lang, n_chars) - 1) / 2 as r from d) select lang, round((sum(r) filter (where y = 1) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * (count(*) - sum(y)), 0), 6) as auc from r group by 1")
 def _(c):
     d = c.table("documents").select("doc_id", "lang", "n_chars").join(c.table("labels"), "doc_id")
     return stats.auc(d, "n_chars", "quality", ["lang"]).select("lang", F.round("auc", 6).alias("auc"))
