@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import small_batches
+from .workspace import give_back, small_batches
 
 #: Row-steps one recursive query may keep; a longer word takes several queries, each from where the last one stopped.
 _ROW_STEPS = 4_000_000
@@ -56,44 +56,66 @@ class Bpe:
         self.find = regex.compile(pattern).findall
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.ranks = ranks
+        merges = [(ranks[b[:i]], ranks[b[i:]], r) for b, r in ranks.items() for i in range(1, len(b)) if b[:i] in ranks and b[i:] in ranks]
+        self.merges = pa.table([pa.array(c, pa.int64()) for c in zip(*merges, strict=True)] if merges else [pa.array([], pa.int64())] * 3, names=["l", "r", "id"])
+        self.vocab = pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [b.hex() for b in ranks]})
+        self.db = None
+        self.rest()
+
+    def rest(self) -> None:
+        """Between tasks: the cache and the database go, so that an idle worker is small."""
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.db = duckdb.connect()
-        self.db.execute("set threads = 1")
-        self.db.execute("set memory_limit = '300MB'")
-        self.db.execute("set temp_directory = ''")
-        merges = [(ranks[b[:i]], ranks[b[i:]], r) for b, r in ranks.items() for i in range(1, len(b)) if b[:i] in ranks and b[i:] in ranks]
-        own_merges = pa.table([pa.array(c, pa.int32()) for c in zip(*merges, strict=True)] if merges else [pa.array([], pa.int32())] * 3, names=["l", "r", "id"])
-        own_vocab = pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [b.hex() for b in ranks]})
-        self.db.register("own_merges", own_merges)
-        self.db.register("own_vocab", own_vocab)
-        self.db.execute("create table merges as select (l::bigint << 32) | r as joint, id::bigint << 32 as ranked from own_merges")
-        self.db.execute("create table vocab as from own_vocab")
-
-    def _contract(self, words: list[np.ndarray]) -> None:
-        """Brings each word's tokens to the fixpoint, in place."""
-        todo = list(range(len(words)))
-        while todo:
-            batch, rows = [], 0
-            while todo and (not batch or rows + len(words[todo[-1]]) <= _ROW_STEPS // 8):
-                batch.append(todo.pop())
-                rows += len(words[batch[-1]])
-            sizes = np.array([len(words[i]) for i in batch])
-            begins = np.cumsum(sizes) - sizes
-            start = pa.table({
-                "place": pa.array(np.repeat(np.array(batch, np.int64) << 32, sizes) | (np.arange(rows) - np.repeat(begins, sizes))),
-                "token": pa.array(np.concatenate([words[i] for i in batch])),
-            })
-            self.db.register("start", start)
-            # Ordinary words end long before; only very long ones need another query.
-            found = self.db.sql(_CONTRACT, params={"most": max(64, _ROW_STEPS // rows)}).to_arrow_table()
-            self.db.unregister("start")
-            for part in found.to_batches():
-                tokens, ends = part.column(1).values.to_numpy(), part.column(1).offsets.to_numpy()
-                for word, a, b, left in zip(part.column(0).to_pylist(), ends, ends[1:], part.column(2).to_pylist(), strict=False):
-                    words[word] = tokens[a:b]
-                    if left == 0:
-                        todo.append(word)
+        if self.db is not None:
+            self.db.close()
+            self.db = None
+
+    def _open(self) -> duckdb.DuckDBPyConnection:
+        if self.db is None:
+            self.db = duckdb.connect()
+            self.db.execute("set threads = 1")
+            self.db.execute("set memory_limit = '300MB'")
+            self.db.execute("set temp_directory = ''")
+            self.db.register("own_merges", self.merges)
+            self.db.register("own_vocab", self.vocab)
+            self.db.execute("create table merges as select (l << 32) | r as joint, id << 32 as ranked from own_merges")
+            self.db.execute("create table vocab as from own_vocab")
+        return self.db
+
+    def _query(self, words: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, out: list[bytes]) -> list[tuple[int, np.ndarray]]:
+        """Contracts words given as one array of tokens; fills in the ids of those that are done and returns the rest."""
+        db = self._open()
+        pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        db.register("start", pa.table({"place": pa.array(np.repeat(words << 32, sizes) | pos), "token": pa.array(tokens)}))
+        # Ordinary words end long before; only very long ones need another query.
+        found = db.sql(_CONTRACT, params={"most": max(64, _ROW_STEPS // len(tokens))}).to_arrow_table()
+        db.unregister("start")
+        left = []
+        for part in found.to_batches():
+            flat, ends = part.column(1).values.to_numpy(), part.column(1).offsets.to_numpy()
+            raw = flat.astype("<u4").tobytes()
+            for word, a, b, todo in zip(part.column(0).to_pylist(), ends.tolist(), ends[1:].tolist(), part.column(2).to_pylist(), strict=False):
+                if todo == 0:
+                    left.append((word, flat[a:b].copy()))
+                else:
+                    out[word] = raw[4 * a : 4 * b]
+        return left
+
+    def _contract(self, raw: list[bytes]) -> list[bytes]:
+        """Every word's ids at its fixpoint."""
+        out, begin = [b""] * len(raw), 0
+        while begin < len(raw):
+            end, rows = begin, 0
+            while end < len(raw) and (end == begin or rows + len(raw[end]) <= _ROW_STEPS // 8):
+                rows += len(raw[end])
+                end += 1
+            sizes = np.fromiter(map(len, raw[begin:end]), np.int64, end - begin)
+            left = self._query(np.arange(begin, end), sizes, self.byte[np.frombuffer(b"".join(raw[begin:end]), np.uint8)], out)
+            while left:
+                word, tokens = left.pop()
+                left += self._query(np.array([word]), np.array([len(tokens)]), tokens, out)
+            begin = end
+        return out
 
     def learn(self, words: set[str]) -> None:
         """Encodes the words that the cache doesn't hold. Its older half goes when the newer one is full."""
@@ -108,10 +130,7 @@ class Bpe:
         # A word that is a token itself is that token, whatever its merges would give.
         whole = list(map(self.ranks.get, raw))
         parts = [i for i, r in enumerate(whole) if r is None]
-        tokens = self.byte[np.frombuffer(b"".join([raw[i] for i in parts]), np.uint8)]
-        split = np.split(tokens, np.cumsum([len(raw[i]) for i in parts])[:-1]) if parts else []
-        self._contract(split)
-        self.known.update((new[i], t.astype("<u4").tobytes()) for i, t in zip(parts, split, strict=True))
+        self.known.update(zip([new[i] for i in parts], self._contract([raw[i] for i in parts]), strict=True))
         self.known.update((w, r.to_bytes(4, "little")) for w, r in zip(new, whole, strict=True) if r is not None)
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -129,11 +148,12 @@ class Bpe:
             "pos": pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in sizes] or [np.zeros(0, np.int32)])),
             "id": pa.array(np.concatenate(arrays or [np.zeros(0, np.int32)])),
         })
-        self.db.register("rows", rows)
+        db = self._open()
+        db.register("rows", rows)
         out = [b""] * len(ids)
-        for text, joined in self.db.execute("select text, string_agg(hex, '' order by pos) from rows join vocab using (id) group by text").fetchall():
+        for text, joined in db.execute("select text, string_agg(hex, '' order by pos) from rows join vocab using (id) group by text").fetchall():
             out[text] = bytes.fromhex(joined)
-        self.db.unregister("rows")
+        db.unregister("rows")
         return out
 
 
@@ -189,6 +209,8 @@ def tokenize(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_
                 if with_ids:
                     cols.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
+        bpe.rest()
+        give_back()
 
     slim = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     ddl = "_id string, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + (", token_ids array<int>" if with_ids else "")

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, small_batches
+from .workspace import Workspace, give_back, small_batches
 
 #: The contract's white space, [\x20\x09-\x0D].
 SPACE = b" \t\n\x0b\x0c\r"
@@ -118,6 +118,7 @@ def _entry_log(cache_bytes: int):
                 yield batch(entries(gone))
         while held:
             yield batch(entries([held.popitem(last=False)[1] for _ in range(min(256, len(held)))]))
+        give_back()
 
     return run
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
-from .workspace import Workspace, fits, small_batches
+from .workspace import Workspace, fits, give_back, small_batches
 
 WORDS, PERCENT = 5, 80
 #: Cells of the frequency sketch: 2**CELL_BITS counters, whatever the corpus.
@@ -43,6 +43,11 @@ class _Words(dict):
 _words = _Words()
 
 
+def _rest() -> None:
+    _words.clear()
+    give_back()
+
+
 def shingles(text: str | None) -> np.ndarray:
     """64-bit hashes of the text's word n-grams, in order of occurrence, repeats included."""
     if len(_words) > 150_000:
@@ -92,6 +97,7 @@ def frequency_classes(texts: DataFrame, fragments: int) -> tuple[np.ndarray, np.
             for t in batch.column(0).to_pylist():
                 np.add.at(total, _cells(shingles(t)), 1)
         yield _blob(total)
+        _rest()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << CELL_BITS, np.int64)
@@ -148,6 +154,7 @@ def _prefixes(classes) -> object:
                 parity.append(None if s is None else _parity(keys))
                 seen.add(s)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, f.type) for c, f in zip((n, sig, prefix, parity), schema, strict=True)]], names=["id", *schema.names])
+        _rest()
 
     return run
 
@@ -170,6 +177,7 @@ def _segments(classes, pivots: np.ndarray) -> object:
                 others.append(parts[1:])
             keys_type = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(first, keys_type), pa.array(others, pa.list_(keys_type))], names=["node", "first", "others"])
+        _rest()
 
     return run
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, small_batches
+from .workspace import Workspace, give_back, small_batches
 
 STATISTICS = (
     "log_chars", "log_words", "word_len", "word_len_sd", "upper", "lower", "digit", "punct", "exclaim", "bar", "symbols", "high_bytes", "space", "newline",
@@ -105,6 +105,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
         for batch in batches:
             stats = [statistics(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(stats, pa.list_(pa.float64()))], schema=schema)
+        give_back()
 
     slim = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     return slim.mapInArrow(run, "_id string, stats array<double>")

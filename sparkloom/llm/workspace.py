@@ -7,6 +7,7 @@ the tasks it was running and nothing that was already written.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -32,6 +33,13 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> No
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def give_back() -> None:
+    """Returns a Python worker's freed memory to the system; workers live on between tasks and operators."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class Workspace:
     """One operator run's folder of scratch tables."""
 
