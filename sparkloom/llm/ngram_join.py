@@ -86,8 +86,8 @@ def frequency_classes(texts: DataFrame, fragments: int) -> tuple[np.ndarray, np.
     """The frequency class of every cell of the hash space, and the pivots that cut the order into fragments of about
     equal mass.
 
-    All shingles of all documents are counted. Tasks send one compressed sketch each; they are added by at most 16 tasks,
-    and the driver adds those. A class is a sixteenth of a doubling above or below the usual cell: shingles that even a
+    All shingles of all documents are counted. Tasks send one compressed sketch each; they are added in two levels, the
+    second of eight tasks, and the driver adds those. A class is a sixteenth of a doubling above or below the usual cell: shingles that even a
     few dozen documents share come after those of one document.
     """
 
@@ -106,13 +106,20 @@ def frequency_classes(texts: DataFrame, fragments: int) -> tuple[np.ndarray, np.
                 total += _unblob(x)
         yield _blob(total)
 
-    sketches = texts.mapInArrow(count, "sketch binary").repartition(16).mapInArrow(add, "sketch binary")
+    sketches = texts.mapInArrow(count, "sketch binary")
+    many = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8
+    for tasks in (many, 8) if many > 8 else (8,):
+        sketches = sketches.repartition(tasks).mapInArrow(add, "sketch binary")
     total = np.zeros(1 << CELL_BITS, np.int64)
     for r in sketches.collect():
         total += _unblob(r["sketch"])
     base = float(np.median(total)) + 1
-    classes = np.clip(np.round(64 + 16 * np.log2((total + 1) / base)), 0, 255).astype(np.uint8)
-    mass = np.cumsum(np.bincount(classes, total, minlength=256))
+    classes, mass = np.zeros(len(total), np.uint8), np.zeros(256)
+    for i in range(0, len(total), 1 << 18):  # in pieces: the driver is small
+        part = total[i : i + (1 << 18)]
+        classes[i : i + (1 << 18)] = c = np.clip(np.round(64 + 16 * np.log2((part + 1) / base)), 0, 255).astype(np.uint8)
+        mass += np.bincount(c, part, minlength=256)
+    mass = np.cumsum(mass)
     cuts = np.minimum(np.searchsorted(mass, mass[-1] * np.arange(1, fragments) / fragments) + 1, 255)
     return classes, cuts.astype(np.uint64) << np.uint64(64 - _CLASS_BITS)
 
