@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import capped, row_rank
-
 
 def _order() -> list:
     return [F.desc("score"), F.desc_nulls_last("people"), F.asc("item")]
@@ -40,18 +38,19 @@ STAGES = ((1, "AND", "n_core >= 2 and met = n_core and people >= {least}"), (2,
 
 def ladder(cand: DataFrame, least: int, min_results: int, k: int, cap: int) -> DataFrame:
     """The first stage that still has ``min_results`` rows after the brand cap (else the last): q, stage, item, rank, score,
-    candidate_count and tie_at_last, both before the cap. All stages are made in one pass over the candidates.
+    candidate_count and tie_at_last, both before the cap. All stages are made in one pass over the candidates, by windows alone.
     """
     held = F.array_compact(F.array(*[F.when(F.expr(cond.format(least=least)), F.struct(F.lit(n).alias("n"), F.lit(label).alias("stage"))) for n, label, cond in STAGES]))
     staged = cand.select("*", F.explode(held).alias("s")).select("*", "s.n", "s.stage").drop("s")
-    by = ["q", "n", "stage"]
-    top = capped(staged, by, "brand", _order(), cap, k)
-    sizes = top.groupBy(*by).agg(F.count("*").alias("rows"))
-    choice = sizes.groupBy("q").agg(F.coalesce(F.min(F.when(F.col("rows") >= min_results, F.col("n"))), F.max("n")).alias("n"))
-    ranked = row_rank(staged, by, _order(), "_r").withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
-    cut = ranked.groupBy(*by).agg(F.count("*").alias("candidate_count"), F.max(F.when(F.col("_r") == F.least(F.lit(k), F.col("_n")), F.col("score"))).alias("_cut"))
-    ties = ranked.join(cut, by).groupBy(*by).agg(F.max("candidate_count").alias("candidate_count"), F.count_if(F.col("score") == F.col("_cut")).alias("tie_at_last"))
-    return top.join(choice, ["q", "n"]).join(ties, by).select("q", "stage", "item", "rank", "score", "candidate_count", "tie_at_last")
+    stage, query = Window.partitionBy("q", "n"), Window.partitionBy("q")
+    ranked = staged.withColumn("_r", F.row_number().over(stage.orderBy(*_order()))).withColumn("candidate_count", F.count("*").over(stage))
+    ranked = ranked.withColumn("_kind", F.row_number().over(Window.partitionBy("q", "n", "brand").orderBy(*_order())))
+    last = F.max(F.when(F.col("_r") == F.least(F.lit(k), F.col("candidate_count")), F.col("score"))).over(stage)
+    tied = ranked.withColumn("_last", last).withColumn("tie_at_last", F.count_if(F.col("score") == F.col("_last")).over(stage))
+    top = tied.filter(F.col("_kind") <= cap).withColumn("rank", F.row_number().over(stage.orderBy("_r"))).filter(F.col("rank") <= k)
+    enough = F.when(F.count("*").over(stage) >= min_results, F.col("n"))
+    chosen = top.withColumn("_enough", enough).withColumn("_choice", F.coalesce(F.min("_enough").over(query), F.max("n").over(query))).filter("n = _choice")
+    return chosen.select("q", "stage", "item", "rank", "score", "candidate_count", "tie_at_last")
 
 
 def softened(cand: DataFrame, soft: DataFrame, weight: Column, penalty: float) -> DataFrame:
