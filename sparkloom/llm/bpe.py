@@ -16,7 +16,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .workspace import give_back, small_batches
@@ -158,6 +158,16 @@ class Bpe:
 
 
 _workers: dict[tuple, Bpe] = {}
+_sent: dict[tuple, object] = {}
+
+
+def _ranks_of(spark: SparkSession, path: str) -> object:
+    """A vocabulary's ranks, sent to an application's executors once."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _sent:
+        _sent.clear()
+        _sent[key] = spark.sparkContext.broadcast(read_ranks(path))
+    return _sent[key]
 
 
 def worker(ranks: dict[bytes, int], pattern: str, name: tuple) -> Bpe:
@@ -190,7 +200,7 @@ def tokenize(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_
     """
     spark = docs.sparkSession
     small_batches(spark, 2000)
-    ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))
+    ranks = _ranks_of(spark, vocabulary)
     name = (vocabulary, pattern)
     schema = pa.schema([("_id", pa.string()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("round_trip", pa.bool_())] + ([("token_ids", pa.list_(pa.int32()))] if with_ids else []))
 

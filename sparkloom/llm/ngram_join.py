@@ -119,6 +119,8 @@ def frequency_classes(texts: DataFrame, fragments: int) -> tuple[np.ndarray, np.
         part = total[i : i + (1 << 18)]
         classes[i : i + (1 << 18)] = c = np.clip(np.round(64 + 16 * np.log2((part + 1) / base)), 0, 255).astype(np.uint8)
         mass += np.bincount(c, part, minlength=256)
+    del total
+    give_back()
     mass = np.cumsum(mass)
     cuts = np.minimum(np.searchsorted(mass, mass[-1] * np.arange(1, fragments) / fragments) + 1, 255)
     return classes, cuts.astype(np.uint64) << np.uint64(64 - _CLASS_BITS)

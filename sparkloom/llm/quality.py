@@ -134,7 +134,7 @@ def fit(measured: DataFrame, labels: DataFrame, width: int = 256, ridge: float =
     neutral = Model(np.zeros(d), np.ones(d), rng.normal(0, 1 / bandwidth, (d, width)), rng.uniform(0, 2 * np.pi, width), np.zeros(width + 1), np.zeros(1), np.full(1, 0.5))
     if n == 0:
         return neutral
-    tasks = int(min(32, max(1, n // 2000)))  # rows are bounded, and so are the tasks and what they send back
+    tasks = int(min(16, max(1, n // 2000)))  # rows are bounded, and so are the tasks and what they send back
     rows = rows.repartition(tasks, "_id")
     calibrates = F.pmod(F.crc32(F.concat(F.col("_id"), F.lit("/calibrate")).cast("binary")), F.lit(4)) == 0
     moments = rows.select(*[x for i in range(d) for x in (F.col("stats")[i].alias(f"s{i}"),)]).agg(*[f(f"s{i}") for i in range(d) for f in (F.avg, F.stddev_pop)]).first()
@@ -152,6 +152,7 @@ def fit(measured: DataFrame, labels: DataFrame, width: int = 256, ridge: float =
         total = np.zeros((width + 1, width + 2))
         for r in part.select("stats", "y").mapInPandas(sums, "total binary").collect():
             total += np.frombuffer(r["total"]).reshape(total.shape)
+        give_back()
         count = max(1.0, total[-1, -2])
         return np.linalg.solve(total[:, :-1] + ridge * count * np.eye(width + 1), total[:, -1])
 
