@@ -60,12 +60,14 @@ class Bpe:
         self.merges = pa.table([pa.array(c, pa.int64()) for c in zip(*merges, strict=True)] if merges else [pa.array([], pa.int64())] * 3, names=["l", "r", "id"])
         self.vocab = pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [b.hex() for b in ranks]})
         self.db = None
-        self.rest()
-
-    def rest(self) -> None:
-        """Between tasks: the cache and the database go, so that an idle worker is small."""
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+
+    def rest(self) -> None:
+        """Between tasks: the database goes, and of the cache all but the words that both halves hold, which are those that
+        come again and again. So an idle worker is small."""
+        self.known = {w: ids for w, ids in self.known.items() if w in self.older}
+        self.older = {}
         if self.db is not None:
             self.db.close()
             self.db = None
