@@ -134,3 +134,34 @@ def test_lm_losses_match_brute_force(spark, odd, none):
         assert abs(r["target_loss"] - loss(t, True)) < 1e-3 and abs(r["background_loss"] - loss(t, False)) < 1e-3
         assert abs(r["difference"] - (r["target_loss"] - r["background_loss"])) < 1e-9
     assert lm_score.score(none, target).count() == 0
+
+
+def test_lm_counts_real_ngrams(spark, odd):
+    odd = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(100 + i, f"w{i} v{i} w{i} u{i % 7}") for i in range(500)], "doc_id long, text string"))
+    wanted = {4, 5, 7, *range(100, 200)}
+    target = spark.createDataFrame([(i,) for i in wanted], "doc_id long")
+    texts = [(r["doc_id"], (r["text"] or "").encode().lower().split()) for r in odd.collect()]
+    words, pairs = {True: Counter(), False: Counter()}, {True: Counter(), False: Counter()}
+    for i, w in texts:
+        for s in [True, False] if i in wanted else [False]:
+            words[s].update(w)
+            pairs[s].update(zip(w, w[1:], strict=False))
+    n = {s: sum(c.values()) for s, c in words.items()}
+
+    def loss(w, s):
+        f, total = (1 if s else n[True] / n[False]), 0.0
+        for j in range(len(w)):
+            p = (words[s][w[j]] * f + 1) / (n[True] + len(words[False]))
+            if j:
+                p = (pairs[s][w[j - 1], w[j]] * f + 8 * p) / (words[s][w[j - 1]] * f + 8)
+            total -= math.log(p)
+        return total / len(w) if w else 0.0
+
+    def want(found):
+        return sorted((str(i), len(w), round(loss(w, True), 9), round(loss(w, False), 9)) for i, w in found)
+
+    got = lm_score.score(odd, target).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"], round(r["target_loss"], 9), round(r["background_loss"], 9)) for r in got) == want(texts)
+    assert all(r["difference"] == r["target_loss"] - r["background_loss"] for r in got)
+    assert lm_score.score(odd.limit(0), target).count() == 0
+    assert {r["target_loss"] for r in lm_score.score(odd.filter("doc_id in (2, 3)"), target).collect()} == {0.0}
