@@ -127,8 +127,8 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gene
     end, share, act). Positions are code points, ends exclusive.
 
     A term is flagged beside a value if both stand together in ``min_texts`` different texts at least (copies of one text
-    count once) and it discloses ``generalise`` of the value's information or more. Document frequencies of values and
-    terms are counted over all rows. Defined cases: a null text is empty and has no span; repeated rows have equal spans;
+    count once) and it discloses ``generalise`` of the value's information or more. Document frequencies of values, terms
+    and both together are counted over all rows, copies included. Defined cases: a null text is empty and has no span; repeated rows have equal spans;
     an empty table gives an empty result. Other columns are left behind.
     """
     work = Workspace(docs.sparkSession, "pii")
@@ -138,7 +138,8 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gene
     spans = work.cut(spans, "base")
     near = spans.filter(F.size("spans") > 0).select(*KEY, "content", F.explode(_terms(F.col("spans"), each_side, shortest)).alias("w")).select(*KEY, "content", "w.*")
     near = work.cut(near, "near")
-    pairs = near.select("entity", "term", "content").distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= min_texts)
+    copies = spans.groupBy("content").agg(F.count("*").alias("copies"))
+    pairs = near.select("entity", "term", "content").distinct().join(copies, "content").groupBy("entity", "term").agg(F.sum("copies").alias("both"), F.count("*").alias("texts")).filter(F.col("texts") >= min_texts)
     pairs = work.cut(pairs, "pairs")
     terms = pairs.select("term").distinct()
     terms = F.broadcast(terms) if fits(terms, broadcast_rows) else terms

@@ -148,6 +148,13 @@ def test_pii_base_spans_and_terms(spark):
     assert pii.detect(docs.limit(0)).count() == 0
 
 
+def test_pii_copies_do_not_hide_terms(spark):
+    texts = [t for t in ("said Bob Zork 34@mail7.example.com", "wrote Ann Zork 34@mail7.example.com") for _ in range(30)] + [f"filler {i}" for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in pii.digests(pii.detect(docs)).collect()}
+    assert spans[0].endswith(",term:9:13") and spans[59].endswith(",term:10:14")
+
+
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://Example.ORG/es/x?y", "http://a.example.org/en/12", "https://notexample.org/en/1", "x://com/fr/", "x://a.com/de/#f", "x://org", "x://org/", "x://a.org.evil/", "x://evil/.org\x1f/", "x://a.com/fr", "x://EXAMPLE.org:80/es/"] + ["x://a.com/" + "p" * 5000]
     pages = spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate(urls)] + [(None, "x://org/", "", "")], "page_id long, url string, host string, path string")
