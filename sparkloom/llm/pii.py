@@ -1,6 +1,6 @@
 """Personal data: base patterns, and terms that give the protected values away, in DataFrame operations only.
 
-Base spans (email, ip, card, phone) are found by linear-time forms of their patterns. For the terms around them the
+Base spans (email, ip, card, phone) are found by linear-time forms of their patterns. For the terms of their documents the
 corpus says how much they reveal: with IC(e) = -ln P(e) the information of a protected value e and PMI(t; e) what a
 term t tells about it, t discloses the share PMI / IC of e. A share of 1 means that whoever reads t knows e. Terms
 above one threshold are generalised to their kind, above a higher one they are removed.
@@ -8,7 +8,7 @@ above one threshold are generalised to their kind, above a higher one they are r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .workspace import Workspace, fits
@@ -24,9 +24,11 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 _HINTS = {"email": "@", "phone": "+"}
-_WORD = r"\p{L}++"
+# Base spans are overlaid with a character that no text has; a word that touches one is none.
+_OVER = "\uffff"
+_WORD = rf"(?<![\p{{L}}{_OVER}])\p{{L}}++(?!{_OVER})"
 KEY = ["k1", "k2"]
-_SPAN = "array<struct<kind:string,start:int,end:int,value:string,left:string,right:string>>"
+_SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
 def _card_text(text: Column) -> Column:
@@ -57,7 +59,7 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def _places(values: Column, gaps: Column) -> Column:
-    """All matches as structs of value, start, end, gap before and gap after, in order; positions in code points.
+    """All matches as structs of value, start and end, in order; positions in code points.
 
     A match's start is the length of all matches and gaps before it.
     """
@@ -69,22 +71,12 @@ def _places(values: Column, gaps: Column) -> Column:
         end = start + F.char_length(x["v"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(x["v"].alias("value"), start.alias("start"), end.alias("end")))).alias("out"))
 
-    found = F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("out")), add)["out"]
-    after = F.slice(gaps, 2, F.size(values))
-    before = F.slice(gaps, 1, F.size(values))
-    return F.zip_with(
-        found, F.arrays_zip(before.alias("b"), after.alias("a")),
-        lambda s, g: F.struct(s["value"].alias("value"), s["start"].alias("start"), s["end"].alias("end"), g["b"].alias("left"), g["a"].alias("right")),
-    )
-
-
-def _words(text: Column) -> Column:
-    return _places(F.regexp_extract_all(text, F.lit(_WORD), 0), F.split(text, _WORD, -1))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("out")), add)["out"]
 
 
-def base_spans(df: DataFrame, reach: int = 120) -> DataFrame:
-    """Adds ``spans`` for ``_text``: valid base spans in the order of KINDS, then start, each with up to ``reach``
-    characters on either side. Matches and gaps are columns of their own, so that each is computed once.
+def base_spans(df: DataFrame) -> DataFrame:
+    """Adds ``spans`` for ``_text``: valid base spans in the order of KINDS, then start. Matches and gaps are columns of
+    their own, so that each is computed once.
     """
     text = F.col("_text")
     for kind in KINDS:
@@ -96,67 +88,81 @@ def base_spans(df: DataFrame, reach: int = 120) -> DataFrame:
     def of(kind: str) -> Column:
         found = F.transform(
             F.filter(_places(F.col(f"_v_{kind}"), F.col(f"_g_{kind}")), lambda s: _valid(kind, s["value"])),
-            lambda s: F.struct(
-                F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"),
-                # A word that the cut may have split is left out.
-                F.when(F.char_length(s["left"]) > reach, F.regexp_replace(F.substr(s["left"], -F.lit(reach)), r"^\p{L}+", "")).otherwise(s["left"]).alias("left"),
-                F.when(F.char_length(s["right"]) > reach, F.regexp_replace(F.substr(s["right"], F.lit(1), F.lit(reach)), r"\p{L}+$", "")).otherwise(s["right"]).alias("right"),
-            ),
+            lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")),
         )
         return F.when(F.size(f"_v_{kind}") > 0, found).otherwise(F.array().cast(_SPAN))
 
     return df.withColumn("spans", F.concat(*[of(k) for k in KINDS]))
 
 
-def _terms(spans: Column, each_side: int, shortest: int) -> Column:
-    """The words around every base span that are in no base span, as (entity, term, start, end)."""
+def _overlaid(text: Column, spans: Column) -> Column:
+    """The text with every base span overlaid; lengths stay."""
 
-    def around(s: Column) -> Column:
-        left = F.transform(_words(s["left"]), lambda w: F.struct(w["value"].alias("value"), (s["start"] - F.char_length(s["left"]) + w["start"]).alias("start")))
-        right = F.transform(_words(s["right"]), lambda w: F.struct(w["value"].alias("value"), (s["end"] + w["start"]).alias("start")))
-        near = F.concat(F.slice(F.reverse(left), 1, each_side), F.slice(right, 1, each_side))
-        entity = F.concat(s["kind"], F.lit(":"), F.when(s["kind"] == "email", F.lower(s["value"])).when(s["kind"] == "ip", s["value"]).otherwise(_digits(s["value"])))
-        return F.transform(near, lambda w: F.struct(entity.alias("entity"), F.lower(w["value"]).alias("term"), w["start"].alias("start"), (w["start"] + F.char_length(w["value"])).alias("end")))
+    def add(acc: Column, s: Column) -> Column:
+        begin = F.greatest(s["start"], acc["at"])
+        piece = F.concat(F.substr(text, acc["at"] + 1, begin - acc["at"]), F.repeat(F.lit(_OVER), s["end"] - begin))
+        done = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
+        return F.when(s["end"] <= acc["at"], acc).otherwise(done)
 
-    free = lambda w: (F.char_length(w["term"]) >= shortest) & ~F.exists(spans, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
-    return F.filter(F.flatten(F.transform(spans, around)), free)
+    places = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(places, start, add, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1, F.char_length(text))))
 
 
-def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = 0.8, remove: float = 0.95, min_texts: int = 2, each_side: int = 8, shortest: int = 3, broadcast_rows: int = 1_000_000) -> DataFrame:
+def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = 0.8, remove: float = 0.95, min_texts: int = 2, shortest: int = 3, broadcast_rows: int = 1_000_000) -> DataFrame:
     """One row per input row: id, k1, k2 (the row's key), base (array of kind, start, end, value), terms (array of start,
     end, share, act). Positions are code points, ends exclusive.
 
-    A term is flagged beside a value if both stand together in ``min_texts`` different texts at least (copies of one text
-    count once) and it discloses ``generalise`` of the value's information or more. Document frequencies of values, terms
-    and both together are counted over all rows, copies included. Defined cases: a null text is empty and has no span; repeated rows have equal spans;
+    A term is flagged with a value if ``min_texts`` different texts at least hold both, wherever they stand (copies of one
+    text count once), and it discloses ``generalise`` of the value's information or more. Document frequencies of values, terms
+    and both together are counted over all rows, copies included. Every occurrence of a flagged term outside base spans is marked in documents that
+    hold the value. Defined cases: a null text is empty and has no span; repeated rows have equal spans;
     an empty table gives an empty result. Other columns are left behind.
     """
     work = Workspace(docs.sparkSession, "pii")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.col(id_col), F.xxhash64(F.col(id_col), F.col(text_col)).alias("k1"), F.hash(F.col(text_col), F.col(id_col)).alias("k2"), text.alias("_text"))
-    spans = base_spans(keyed).select(id_col, *KEY, F.xxhash64("_text").alias("content"), "spans")
+    spans = base_spans(keyed).select(id_col, *KEY, F.xxhash64("_text").alias("content"), "spans", F.when(F.size("spans") > 0, F.col("_text")).alias("_text"))
     spans = work.cut(spans, "base")
-    near = spans.filter(F.size("spans") > 0).select(*KEY, "content", F.explode(_terms(F.col("spans"), each_side, shortest)).alias("w")).select(*KEY, "content", "w.*")
-    near = work.cut(near, "near")
-    copies = spans.groupBy("content").agg(F.count("*").alias("copies"))
-    pairs = near.select("entity", "term", "content").distinct().join(copies, "content").groupBy("entity", "term").agg(F.sum("copies").alias("both"), F.count("*").alias("texts")).filter(F.col("texts") >= min_texts)
-    pairs = work.cut(pairs, "pairs")
-    terms = pairs.select("term").distinct()
-    terms = F.broadcast(terms) if fits(terms, broadcast_rows) else terms
-    said = keyed.select(F.explode(F.array_distinct(F.split(F.lower("_text"), r"[^\p{L}]+"))).alias("term"))
-    df_term = said.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_term"))
-    entities = spans.select(*KEY, F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity"))
-    df_entity = entities.groupBy("entity").agg(F.count("*").alias("df_entity"))
     n = float(spans.count())
+    # Values and terms are the text's: what follows has each different text once, with its number of rows.
+    held = spans.select("content", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity")).groupBy("content", "entity").agg(F.count("*").alias("copies"))
+    held = work.cut(held, "held")
+    known = held.groupBy("entity").agg(F.sum("copies").alias("df_entity"), F.count("*").alias("texts")).filter((F.col("texts") >= min_texts) & (F.col("df_entity") < n)).drop("texts")
+    known = F.broadcast(known) if fits(known, broadcast_rows) else known
+    held = work.cut(held.join(known, "entity"), "known")
+    kept = held.select("content").distinct()
+    kept = F.broadcast(kept) if fits(kept, broadcast_rows) else kept
+    texts = spans.filter("_text is not null").join(kept, "content", "left_semi").groupBy("content").agg(F.first(F.struct("_text", "spans")).alias("t"))
+    texts = work.cut(texts.select("content", _overlaid(F.col("t._text"), F.col("t.spans")).alias("_text")), "texts")
+    said = keyed.select(F.explode(F.array_distinct(F.split(F.lower("_text"), r"[^\p{L}]+"))).alias("term"))
+    words = texts.select("content", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("_text", F.lit(_WORD), 0), F.lower))).alias("term")).filter(F.char_length("term") >= shortest)
+    words = work.cut(words, "words")
+    terms = words.groupBy("term").agg(F.count("*").alias("texts")).filter(F.col("texts") >= min_texts).select("term")
+    terms = F.broadcast(terms) if fits(terms, broadcast_rows) else terms
+    df_term = work.cut(said.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_term")), "terms")
+    # A term in more rows than this can't have the share, even if it stands in all of the value's.
+    most = F.pow(F.col("df_entity"), F.lit(generalise)) * F.pow(F.lit(n), F.lit(1 - generalise)) * 1.000001
+    rare = df_term.join(held.agg(F.max(most).alias("most")), F.col("df_term") <= F.col("most")).drop("most")
+    rare = F.broadcast(rare) if fits(rare, broadcast_rows) else rare
+    met = words.join(rare, "term").join(held, "content").filter(F.col("df_term") <= most)
+    pairs = met.groupBy("entity", "term", "df_entity", "df_term").agg(F.sum("copies").alias("both"), F.count("*").alias("texts")).filter(F.col("texts") >= min_texts)
     share = F.ln(F.col("both") * n / (F.col("df_entity") * F.col("df_term"))) / F.ln(n / F.col("df_entity"))
-    flagged = pairs.join(df_term, "term").join(df_entity, "entity").withColumn("share", F.when(F.col("df_entity") < n, F.least(F.lit(1.0), share)))
-    flagged = work.cut(flagged.filter(F.col("share") >= generalise).select("entity", "term", "share"), "flagged")
+    flagged = pairs.withColumn("share", F.least(F.lit(1.0), share)).filter(F.col("share") >= generalise).select("entity", "term", "share")
+    flagged = work.cut(flagged, "flagged")
     side = F.broadcast(flagged) if fits(flagged, broadcast_rows) else flagged
-    act = F.when(F.max("share") >= remove, F.lit("remove")).otherwise(F.lit("generalise"))
-    marked = near.join(side, ["entity", "term"]).groupBy(*KEY, "start", "end").agg(F.max("share").alias("share"), act.alias("act"))
-    marked = marked.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("start", "end", "share", "act"))).alias("terms"))
+    told = work.cut(words.join(held.select("content", "entity"), "content").join(side, ["entity", "term"]).groupBy("content", "term").agg(F.max("share").alias("share")), "told")
+    # Positions are running sums over a text's words.
+    found = texts.join(told.select("content").distinct(), "content", "left_semi").select("content", F.regexp_extract_all("_text", F.lit(_WORD), 0).alias("v"), F.split("_text", _WORD, -1).alias("g"))
+    found = found.select("content", F.posexplode(F.arrays_zip("v", F.slice("g", 1, F.size("v")).alias("g"))).alias("at", "w"))
+    end = F.sum(F.char_length("w.g") + F.char_length("w.v")).over(Window.partitionBy("content").orderBy("at")).cast("int")
+    found = found.select("content", F.lower("w.v").alias("term"), (end - F.char_length("w.v")).alias("start"), end.alias("end"))
+    act = F.when(F.col("share") >= remove, F.lit("remove")).otherwise(F.lit("generalise")).alias("act")
+    marked = found.join(told, ["content", "term"]).groupBy("content").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share", act))).alias("terms"))
+    marked = work.cut(marked, "marked")
+    marked = F.broadcast(marked) if fits(marked, broadcast_rows // 50) else marked
     base = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
-    return spans.join(marked, KEY, "left").select(
+    return spans.drop("_text").join(marked, "content", "left").select(
         id_col, *KEY, base.alias("base"), F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,share:double,act:string>>")).alias("terms")
     )
 

@@ -155,6 +155,17 @@ def test_pii_copies_do_not_hide_terms(spark):
     assert spans[0].endswith(",term:9:13") and spans[59].endswith(",term:10:14")
 
 
+def test_pii_terms_anywhere_in_the_document(spark):
+    far = " ".join(f"x{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(100))
+    texts = [f"{s} Zork, born 1980, card 4111 1111 1111 1111 {far[:k]} ends with Zork" for s, k in (("Bob", 390), ("Ann", 380))] + [f"filler {far} {i}" for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["terms"] for r in pii.detect(docs).collect()}
+    for i in (0, 1):
+        zork = [(m.start(), m.end()) for m in re.finditer("Zork", texts[i])]
+        assert len(zork) == 2 and set(zork) <= {(t["start"], t["end"]) for t in found[i]}
+    assert not any(found[i] for i in range(2, 302))
+
+
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://Example.ORG/es/x?y", "http://a.example.org/en/12", "https://notexample.org/en/1", "x://com/fr/", "x://a.com/de/#f", "x://org", "x://org/", "x://a.org.evil/", "x://evil/.org\x1f/", "x://a.com/fr", "x://EXAMPLE.org:80/es/"] + ["x://a.com/" + "p" * 5000]
     pages = spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate(urls)] + [(None, "x://org/", "", "")], "page_id long, url string, host string, path string")
