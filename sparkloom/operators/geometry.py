@@ -208,6 +208,37 @@ def contour_segments(density: DataFrame, level: float) -> DataFrame:
     return lines.select("row", "col", at(1, "x").alias("x0"), at(1, "y").alias("y0"), at(2, "x").alias("x1"), at(2, "y").alias("y1"))
 
 
+def _merged(d: np.ndarray, k: int, linkage: str) -> list[int]:
+    """Every row's cluster, by its first member, once clusters are merged down to ``k``; ``d`` has inf on its diagonal.
+
+    Each row's nearest is kept and found again only where it was merged.
+    """
+    sizes, alive, group = np.ones(len(d)), len(d), np.arange(len(d))
+    near = d.argmin(1) if len(d) else group
+    least = d[np.arange(len(d)), near]
+    while alive > k:
+        i = int(np.argmin(least))
+        i, j = sorted((i, int(near[i])))
+        if linkage == "average":
+            row = (sizes[i] * d[i] + sizes[j] * d[j]) / (sizes[i] + sizes[j])
+        else:
+            row = (np.maximum if linkage == "complete" else np.minimum)(d[i], d[j])
+        d[i], d[:, i] = row, row
+        d[i, i] = d[j] = d[:, j] = np.inf
+        sizes[i] += sizes[j]
+        alive -= 1
+        group[group == j] = i
+        again = (near == i) | (near == j)
+        closer = ~again & ((d[:, i] < least) | ((d[:, i] == least) & (i < near)))
+        near[closer], least[closer] = i, d[closer, i]
+        again[i] = True
+        for r in np.flatnonzero(again):
+            near[r] = d[r].argmin()
+            least[r] = d[r, near[r]]
+        least[j] = np.inf
+    return group.tolist()
+
+
 def agglomerative(dist: DataFrame, k: int, linkage: str = "average") -> DataFrame:
     """(id, cluster) by agglomerative clustering of a map's few hundred points, in one task; clusters by least member."""
 
@@ -216,23 +247,25 @@ def agglomerative(dist: DataFrame, k: int, linkage: str = "average") -> DataFram
         at = {p: i for i, p in enumerate(ids)}
         d = np.full((len(ids), len(ids)), np.inf)
         d[pdf["a"].map(at), pdf["b"].map(at)] = pdf["d"]
-        sizes, alive, group = np.ones(len(ids)), set(range(len(ids))), list(range(len(ids)))
-        while len(alive) > k:
-            order = sorted(alive)
-            sub = d[np.ix_(order, order)]
-            i, j = divmod(int(np.argmin(sub)), len(order))
-            i, j = sorted((order[i], order[j]))
-            rows = {"average": (sizes[i] * d[i] + sizes[j] * d[j]) / (sizes[i] + sizes[j]), "complete": np.maximum(d[i], d[j]), "single": np.minimum(d[i], d[j])}
-            d[i], d[:, i] = rows[linkage], rows[linkage]
-            d[i, i] = np.inf
-            sizes[i] += sizes[j]
-            alive.remove(j)
-            group = [i if g == j else g for g in group]
-        return pd.DataFrame({"id": ids, "cluster": [ids[g] for g in group]})
+        return pd.DataFrame({"id": ids, "cluster": [ids[g] for g in _merged(d, k, linkage)]})
 
     return dist.select("a", "b", "d").groupBy(F.lit(1).alias("one")).applyInPandas(run, "id long, cluster long")
 
 
+def agglomerative_by_label(pts: DataFrame, k: int, linkage: str = "average") -> DataFrame:
+    """(id, label, cluster) of every point, ``k`` clusters in each label at most; one label's matrix is one task's work."""
+    kind = pts.schema["label"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        x, y, ids = pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["id"].to_numpy()
+        d = np.round((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2, 10)
+        np.fill_diagonal(d, np.inf)
+        return pd.DataFrame({"id": ids, "label": pdf["label"], "cluster": ids[_merged(d, k, linkage)]})
+
+    return pts.select("id", "x", "y", "label").groupBy("label").applyInPandas(run, f"id long, label {kind}, cluster long")
+
+
 def soft_membership(scores: DataFrame, threshold: float) -> DataFrame:
     """The strongest family of an item always, others from the threshold on; kept weights are not scaled anew."""
     ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), "family")))

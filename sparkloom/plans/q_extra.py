@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import evaluate, ranking, recommend
-from ..operators.geometry import agglomerative, distances, points
+from ..operators.geometry import agglomerative_by_label, points
 from ..operators.sampling import hash_key
 from .catalogue import twin
 from .q_aggregates import _FAMILY, family_score
@@ -179,9 +179,9 @@ def _(c):
 
 @query("xtr24_linkages")
 def _(c):
-    d, out = distances(points(c).filter("label = 3")), None
+    out = None
     for linkage in ("average", "complete", "single"):
-        sizes = agglomerative(d, 5, linkage).groupBy("cluster").agg(F.count("*").alias("n")).agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumn("linkage", F.lit(linkage))
+        sizes = agglomerative_by_label(points(c), 5, linkage).groupBy("label", "cluster").agg(F.count("*").alias("n")).groupBy("label").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumn("linkage", F.lit(linkage))
         out = sizes if out is None else out.unionByName(sizes)
     return out
 

@@ -93,8 +93,7 @@ def _(c):
 
 @query("geo07_agglomerative")
 def _(c):
-    near = points(c).filter("label = 3")
-    return geometry.agglomerative(geometry.distances(near), 5)
+    return geometry.agglomerative_by_label(points(c), 5).select("id", "cluster")
 
 
 @query("geo08_silhouette", "with " + _PT + _D2 + ", m as (select a, x.label as la, y.label as lb, avg(d) as m from dl join pt x on x.id = a join pt y on y.id = b group by 1, 2, 3), s as (select a as id, max(m) filter (where la = lb) as i, min(m) filter (where la <> lb) as o from m group by 1) select id, round((o - i) / greatest(o, i), 6) as s from s")

@@ -188,3 +188,17 @@ def test_checks(spark):
 def test_ridge_recovers_a_line(spark):
     df = spark.createDataFrame([(i, [float(i % 17), float(i % 5)], 3.0 * (i % 17) - (i % 5) + 2) for i in range(500)], "id long, x array<double>, y double")
     assert all(r["r2"] > 0.999 for r in regression.ridge_cv_r2(df, "id", 5, 1e-3).collect())
+
+
+def test_every_embedding_gets_a_cluster(spark, sf):
+    import __spark_entry__
+
+    ids = {r["vec_id"]: r["label"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    got = __spark_entry__.queries()["geo07_agglomerative"](spark, sf).collect()
+    assert sorted(r["id"] for r in got) == sorted(ids)
+    assert all(ids[r["id"]] == ids[r["cluster"]] for r in got)
+    pts = geometry.points(type("C", (), {"table": lambda _, n: spark.read.parquet(f"{sf}/{n}.parquet")})()).filter("label = 3")
+    alone = geometry.agglomerative(geometry.distances(pts), 5).collect()
+    assert {r["id"]: r["cluster"] for r in alone} == {r["id"]: r["cluster"] for r in got if ids[r["id"]] == 3}
+    seen = __spark_entry__.queries()["xtr24_linkages"](spark, sf).select("label", "linkage").collect()
+    assert len(seen) == 3 * len(set(ids.values()))
