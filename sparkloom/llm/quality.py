@@ -2,7 +2,7 @@
 
 1. One pass over the texts computes some thirty statistics per document.
 2. Labelled rows are standardised; cos(Wx + b) with fixed random W approximates a Gaussian kernel.
-3. Tasks sum their rows' normal equations; the driver adds the sums and solves the ridge system.
+3. Tasks sum their rows' normal equations; the sums are added up in two levels and the driver solves the ridge system.
 4. Isotonic regression (pool adjacent violators) on labelled rows that the fit has not seen turns the raw score into the
    share of good documents.
 """
@@ -148,11 +148,19 @@ def fit(measured: DataFrame, labels: DataFrame, width: int = 256, ridge: float =
             total += z.T @ np.hstack([z, pdf["y"].to_numpy()[:, None]])
         yield pd.DataFrame({"total": [total.tobytes()]})
 
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((width + 1, width + 2))
+        for pdf in batches:
+            for x in pdf["total"]:
+                total += np.frombuffer(x).reshape(total.shape)
+        yield pd.DataFrame({"total": [total.tobytes()]})
+
     def solve(part: DataFrame) -> np.ndarray:
+        # The sums are added in two levels, whatever the number of tasks: four matrices come to the driver, one by one.
+        sent = part.select("stats", "y").mapInPandas(sums, "total binary").repartition(4).mapInPandas(add, "total binary")
         total = np.zeros((width + 1, width + 2))
-        for r in part.select("stats", "y").mapInPandas(sums, "total binary").collect():
+        for r in sent.toLocalIterator():
             total += np.frombuffer(r["total"]).reshape(total.shape)
-        give_back()
         count = max(1.0, total[-1, -2])
         return np.linalg.solve(total[:, :-1] + ridge * count * np.eye(width + 1), total[:, -1])
 
