@@ -2,7 +2,9 @@
 
 Encoding: the distinct words of a batch that the worker has not met before become token-position rows (one byte token
 each). A recursive query joins neighbouring rows with the merge table and contracts, in every word, the leftmost pair
-of minimum rank, until no pair of any word is in the table. Decoding: ids join the vocabulary and an ordered
+of minimum rank, until no pair of any word is in the table. Of a long word a step goes on from the left to the pair's other
+occurrences, which come next in any case, up to the first contraction that makes a pair of a lower rank. And it is cut
+where two bytes meet that no token holds side by side: nothing is ever contracted across. Decoding: ids join the vocabulary and an ordered
 aggregation concatenates the bytes.
 """
 
@@ -43,6 +45,33 @@ select (place >> 32)::integer as word, list(token order by place) as tokens, any
 """
 
 
+#: Bytes from which a word's steps contract all occurrences of the pair.
+_LONG = 48
+# As above, for all of the pair's occurrences. Those that follow each other without a gap overlap, so every other one counts.
+_CONTRACT_ALL = """
+with recursive state(place, token, todo) as (
+  select place, token, $most::integer from start
+  union all
+  select n.* from (
+    with pair as (select place, place >> 32 as word, token::bigint as token, todo, row_number() over w as nth,
+                         case when (lead(place) over w >> 32) = (place >> 32) then (token::bigint << 32) | lead(token) over w end as joint,
+                         case when (lag(place) over w >> 32) = (place >> 32) then lag(token) over w end as before, case when (lead(place, 2) over w >> 32) = (place >> 32) then lead(token, 2) over w end as after
+                  from state where todo > 0 window w as (order by place)),
+         ranked as (select nth, word, before, after, m.ranked >> 32 as id, min(m.ranked >> 32) over (partition by word) as least from pair join merges m on m.joint = pair.joint),
+         run as (select *, nth - row_number() over (order by nth) as run from ranked where id = least),
+         turn as (select *, row_number() over (partition by run order by nth) as turn from run),
+         next as (select *, case when lag(nth) over (partition by word order by nth) = nth - 2 then id else before end as left_of from turn where turn % 2 = 1),
+         made as (select next.*, coalesce(l.ranked >> 32 < id, false) or coalesce(r.ranked >> 32 < id, false) as lower
+                  from next left join merges l on l.joint = (left_of::bigint << 32) | id left join merges r on r.joint = (id << 32) | after),
+         pick as (select nth, id from (select nth, id, min(nth) filter (lower) over (partition by word) as last from made) where last is null or nth <= last),
+         busy as (select distinct word from run)
+    select pair.place, coalesce(pick.id, pair.token)::integer as token, case when busy.word is null then -1 else todo - 1 end as todo
+    from pair left join pick on pick.nth = pair.nth left join pick gone on gone.nth = pair.nth - 1 left join busy on busy.word = pair.word
+    where gone.nth is null) n)
+select (place >> 32)::integer as word, list(token order by place) as tokens, any_value(todo) as todo from state where todo <= 0 group by 1
+"""
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """A ``.tiktoken`` file's ranks; a rank is also the token's id."""
     with open(path, "rb") as lines:
@@ -58,6 +87,11 @@ class Bpe:
         self.ranks = ranks
         merges = [(ranks[b[:i]], ranks[b[i:]], r) for b, r in ranks.items() for i in range(1, len(b)) if b[:i] in ranks and b[i:] in ranks]
         self.merges = pa.table([pa.array(c, pa.int64()) for c in zip(*merges, strict=True)] if merges else [pa.array([], pa.int64())] * 3, names=["l", "r", "id"])
+        self.beside = np.zeros(1 << 16, bool)  # pairs of bytes that some token holds side by side
+        held = np.frombuffer(b"".join(b + b"\0" for b in ranks), np.uint8).astype(np.int64)
+        inside = np.ones(len(held), bool)
+        inside[np.cumsum([len(b) + 1 for b in ranks]) - 1] = False
+        self.beside[(held[:-1] << 8 | held[1:])[inside[:-1] & inside[1:]]] = True
         self.vocab = pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [b.hex() for b in ranks]})
         self.db = None
         self.known: dict[str, bytes] = {}
@@ -89,8 +123,11 @@ class Bpe:
         db = self._open()
         pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         db.register("start", pa.table({"place": pa.array(np.repeat(words << 32, sizes) | pos), "token": pa.array(tokens)}))
-        # Ordinary words end long before; only very long ones need another query.
-        found = db.sql(_CONTRACT, params={"most": max(64, _ROW_STEPS // len(tokens))}).to_arrow_table()
+        # Ordinary words end long before; only very long ones need another query, and, from some 200,000 tokens on, more memory.
+        sql, least = (_CONTRACT_ALL, 2) if sizes.min() >= _LONG else (_CONTRACT, 64)
+        if least == 2 and len(tokens) > _ROW_STEPS // 16:
+            db.execute(f"set memory_limit = '{300 + len(tokens) // 1000}MB'")
+        found = db.sql(sql, params={"most": max(least, _ROW_STEPS // len(tokens))}).to_arrow_table()
         db.unregister("start")
         left = []
         for part in found.to_batches():
@@ -103,21 +140,38 @@ class Bpe:
                     out[word] = raw[4 * a : 4 * b]
         return left
 
+    def _cut(self, word: bytes) -> list[bytes]:
+        """A long word's parts that no contraction crosses; a shorter word as it is."""
+        if len(word) < _LONG:
+            return [word]
+        b = np.frombuffer(word, np.uint8).astype(np.int64)
+        ends = [*(np.flatnonzero(~self.beside[b[:-1] << 8 | b[1:]]) + 1).tolist(), len(word)]
+        return [word[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
     def _contract(self, raw: list[bytes]) -> list[bytes]:
         """Every word's ids at its fixpoint."""
-        out, begin = [b""] * len(raw), 0
-        while begin < len(raw):
+        parts = [self._cut(w) for w in raw]
+        flat = [p for x in parts for p in x]
+        out, begin = [b""] * len(flat), 0
+        order = sorted(range(len(flat)), key=lambda i: len(flat[i]) >= _LONG)  # long parts in queries of their own
+        long = sum(len(p) >= _LONG for p in flat)
+        while begin < len(order):
             end, rows = begin, 0
-            while end < len(raw) and (end == begin or rows + len(raw[end]) <= _ROW_STEPS // 8):
-                rows += len(raw[end])
+            most, room = (len(order) - long, _ROW_STEPS // 8) if begin < len(order) - long else (len(order), _ROW_STEPS // 64)
+            while end < most and (end == begin or rows + len(flat[order[end]]) <= room):
+                rows += len(flat[order[end]])
                 end += 1
-            sizes = np.fromiter(map(len, raw[begin:end]), np.int64, end - begin)
-            left = self._query(np.arange(begin, end), sizes, self.byte[np.frombuffer(b"".join(raw[begin:end]), np.uint8)], out)
+            words = order[begin:end]
+            sizes = np.fromiter((len(flat[i]) for i in words), np.int64, len(words))
+            left = self._query(np.array(words), sizes, self.byte[np.frombuffer(b"".join([flat[i] for i in words]), np.uint8)], out)
             while left:
                 word, tokens = left.pop()
                 left += self._query(np.array([word]), np.array([len(tokens)]), tokens, out)
             begin = end
-        return out
+        if len(flat) == len(raw):
+            return out
+        ids = iter(out)
+        return [b"".join(next(ids) for _ in x) for x in parts]
 
     def learn(self, words: set[str]) -> None:
         """Encodes the words that the cache doesn't hold. Its older half goes when the newer one is full."""
@@ -198,7 +252,8 @@ def tokenize(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_
 
     ``vocabulary``: path of a ``.tiktoken`` rank file that the driver can read; its content (a few MB whatever the
     corpus) goes to the executors. Special tokens' strings are ordinary text. Defined cases: a null text is empty and has no
-    tokens; repeated rows give repeated rows; an empty table gives an empty result. Other columns are left behind.
+    tokens; repeated rows give repeated rows; texts are whole and worked on one by one where they are long; an empty table gives
+    an empty result. Other columns are left behind, whatever their names.
     """
     spark = docs.sparkSession
     small_batches(spark, 2000)
