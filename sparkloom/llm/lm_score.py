@@ -13,7 +13,6 @@ them back in the keys' order. So what is counted grows with the corpus and no ta
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, fits, small_batches
+from .workspace import Workspace, fits, give_back, small_batches
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -38,101 +37,6 @@ class _Words(dict):
 _words = _Words()
 
 
-@dataclass(frozen=True)
-class Vocabulary:
-    """A fixed number of slots, 2**word_bits for words and 2**pair_bits for word pairs: for small corpora only, since
-    n-grams that share a slot are counted together."""
-
-    word_bits: int = 20
-    pair_bits: int = 22
-
-    @property
-    def cells(self) -> int:
-        return (1 << self.word_bits) + (1 << self.pair_bits)
-
-    def slots(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Per token, its word's slot and the slot of it with the word before (a mark before the first)."""
-        if len(_words) > 150_000:
-            _words.clear()
-        found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        h = np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
-        with np.errstate(over="ignore"):
-            before = np.concatenate((np.zeros(1, np.uint64), h[:-1])) if len(h) else h
-            pair = (before * _P ^ h) * _P
-            pair ^= pair >> np.uint64(32)
-            pair *= _P
-        return (h >> np.uint64(64 - self.word_bits)).astype(np.int64), (pair >> np.uint64(64 - self.pair_bits)).astype(np.int64)
-
-
-def _blob(counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([zstandard.compress(counts.astype("<u8" if counts.max(initial=0) >> 32 else "<u4").tobytes(), 1)], pa.binary())], names=["counts"])
-
-
-def _unblob(x: bytes, cells: int) -> np.ndarray:
-    raw = zstandard.decompress(x)
-    return np.frombuffer(raw, f"<u{len(raw) // cells}").astype(np.int64)
-
-
-def count(rows: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    """Counts of the target (first half) and of all rows (second half) over (text, wanted) rows.
-
-    Every task counts all its tokens and sends one compressed table; 16 tasks add the tables and the driver adds theirs.
-    """
-    cells, words = vocabulary.cells, 1 << vocabulary.word_bits
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * cells, np.int64)
-        for batch in batches:
-            for want, part in ((True, total[:cells]), (False, total[cells:])):
-                found = [vocabulary.slots(t) for t, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if w == want]
-                if found:
-                    part[:words] += np.bincount(np.concatenate([x[0] for x in found]), minlength=words)
-                    part[words:] += np.bincount(np.concatenate([x[1] for x in found]), minlength=cells - words)
-        total[cells:] += total[:cells]
-        yield _blob(total)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * cells, np.int64)
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                total += _unblob(x, 2 * cells)
-        yield _blob(total)
-
-    total = np.zeros(2 * cells, np.int64)
-    for r in rows.mapInArrow(tally, "counts binary").repartition(16).mapInArrow(add, "counts binary").toLocalIterator():
-        total += _unblob(r["counts"], 2 * cells)
-    return total
-
-
-class Models:
-    """Both models' counts, as 32-bit floats, and their losses. p(w|v) = (c(vw) + k p(w)) / (c(v) + k)."""
-
-    def __init__(self, counts: np.ndarray, vocabulary: Vocabulary, k: float = 8.0):
-        self.vocabulary, self.k = vocabulary, k
-        cells, words = vocabulary.cells, 1 << vocabulary.word_bits
-        target, background = counts[:cells].astype(np.float32), counts[cells:].astype(np.float32)
-        self.tokens = float(counts[:words].sum())
-        background *= np.float32(self.tokens / max(1.0, float(counts[cells : cells + words].sum())))
-        self.sides = [(side[:words], side[words:]) for side in (target, background)]
-
-    def losses(self, text: str | None) -> tuple[int, float, float]:
-        """Tokens, and the mean loss (nats per token) under the target and under the background; 0 for no token."""
-        word, pair = self.vocabulary.slots(text)
-        n = len(word)
-        if not n:
-            return 0, 0.0, 0.0
-        out = []
-        for words, pairs in self.sides:
-            c = words[word].astype(np.float64)
-            single = (c + 1) / (self.tokens + len(words))
-            # Unlike words may share a slot, so a pair's count is held to its first word's.
-            before = np.concatenate(([np.inf], c[:-1]))
-            seen = np.minimum(pairs[pair], before)
-            total = np.where(np.isinf(before), 0, before)
-            out.append(float(-np.log((np.where(np.isinf(before), 0, seen) + self.k * single) / (total + self.k)).mean()))
-        return n, out[0], out[1]
-
-
 def _grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all texts' tokens: the words' keys, whether one is its text's first, the keys of the other ones' pairs with the
     word before; and each text's number of tokens."""
@@ -160,7 +64,7 @@ def _unpack(x: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], most_bytes: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], most_bytes: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Adds the row's piece: consecutive batches of one task, of ``most_bytes`` and a batch at most."""
     piece, size = TaskContext.get().partitionId() << 32, 0
     for batch in batches:
@@ -188,7 +92,7 @@ def _add_up(owned: pa.Table) -> pa.Table:
     })
 
 
-def _exact(flagged: DataFrame, kind: str, k: float = 8.0, owner_chars: int = 20_000_000) -> DataFrame:
+def _exact(flagged: DataFrame, kind: str, k: float = 8.0, owner_chars: int = 10_000_000) -> DataFrame:
     """Scores of (id, text, wanted) rows by counts of real n-grams. An owner of keys has about ``owner_chars`` of text."""
     work = Workspace(flagged.sparkSession, "lm")
     docs = work.cut(flagged.mapInArrow(_pieces, f"id {kind}, text string, wanted boolean, piece long"), "pieces")
@@ -223,6 +127,8 @@ def _exact(flagged: DataFrame, kind: str, k: float = 8.0, owner_chars: int = 20_
                 wanted.append(w)
         if texts:
             yield rows(piece, texts, wanted)
+        _words.clear()
+        give_back()
 
     sent = docs.select("piece", "text", "wanted").mapInArrow(send, "piece long, slot int, keys binary, target binary, every binary")
     totals = work.cut(sent.groupBy("slot").applyInArrow(_add_up, "piece long, slot int, target binary, every binary, n_keys long, n_target long, n_every long"), "totals")
@@ -254,35 +160,18 @@ def _exact(flagged: DataFrame, kind: str, k: float = 8.0, owner_chars: int = 20_
     return docs.select("id", "text", "piece").groupBy("piece").cogroup(counts.groupBy("of")).applyInArrow(run, f"id {kind}, n_tokens long, target_loss double, background_loss double, difference double")
 
 
-def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: Vocabulary | None = None, broadcast_rows: int = 2_000_000) -> DataFrame:
+def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 2_000_000) -> DataFrame:
     """One row per input row: id, n_tokens, target_loss, background_loss, difference (target less background).
 
     ``target_ids``: the ids (one column) of the rows that the target model counts. Defined cases: a null text counts as
     empty; a text without words has losses and difference 0; a null id is never in the target; repeated rows count as
-    often as they stand there and score alike; without target rows both models are flat; an empty table gives an empty
-    result. Other columns are left behind. ``broadcast_rows`` bounds the ids broadcast; beyond it the join is shuffled.
-    With a ``vocabulary`` its slots are counted instead of the real n-grams.
+    often as they stand there and score alike; without target rows both models are flat; texts are whole, however long; an
+    empty table gives an empty result. Other columns are left behind, whatever their names. ``broadcast_rows`` bounds the
+    ids broadcast; beyond it the join is shuffled.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     ids = target_ids.select(F.col(target_ids.columns[0]).alias("_id")).dropna().distinct().withColumn("_wanted", F.lit(True))
     ids = F.broadcast(ids) if fits(ids, broadcast_rows) else ids
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     flagged = slim.join(ids, "_id", "left").select("_id", "_text", F.coalesce("_wanted", F.lit(False)).alias("_wanted"))
-    kind = slim.schema["_id"].dataType.simpleString()
-    if vocabulary is None:
-        return _exact(flagged, kind).withColumnRenamed("id", id_col)
-    flagged = flagged.select("_text", "_wanted")
-    models = spark.sparkContext.broadcast(Models(count(flagged, vocabulary), vocabulary))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [models.value.losses(t) for t in batch.column(1).to_pylist()]
-            n, a, b = (np.array(c) for c in zip(*found, strict=True)) if found else (np.zeros(0), np.zeros(0), np.zeros(0))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.float64()), pa.array(b, pa.float64()), pa.array(a - b, pa.float64())],
-                names=["id", "n_tokens", "target_loss", "background_loss", "difference"],
-            )
-
-    out = slim.mapInArrow(run, f"id {kind}, n_tokens long, target_loss double, background_loss double, difference double")
-    return out.withColumnRenamed("id", id_col)
+    return _exact(flagged, slim.schema["_id"].dataType.simpleString()).withColumnRenamed("id", id_col)
