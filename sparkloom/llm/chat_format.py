@@ -1,7 +1,7 @@
 """Chat formatting with Spark expressions only.
 
-Turns of a conversation are collected as structs and sorted; adjacent turns of one role share a block; the formatted
-text is the concatenation of an array of segments, each of which says whether it counts for the loss.
+Turns of a conversation are collected as structs and sorted; adjacent turns of one role share a block (a turn looks at the
+role before it in the array, so that a block needs no array of its own); the formatted text is the concatenation of an array of segments, each of which says whether it counts for the loss.
 
     <|start|>ROLE\\n TEXT [\\n<|next|>\\n TEXT]... \\n<|end|>\\n
 
@@ -39,7 +39,7 @@ def format_chats(turns: DataFrame, trained_role: str = "assistant") -> DataFrame
 
     Defined cases: turns sort by number (nulls first), equal numbers by role, then text; repeated rows are turns of
     their own; a null role or text is empty; a null conv_id is a conversation; an empty table gives an empty result.
-    Other columns are left behind. A conversation's turns meet in one task, since its text is one value of the result.
+    Other columns are left behind, whatever their names; texts are whole, however long. A conversation's turns meet in one task, since its text is one value of the result.
     """
     turn = F.struct(F.col("turn"), _empty(F.col("role")).alias("role"), _empty(F.col("text")).alias("text"))
     sorted_turns = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("_turns"))

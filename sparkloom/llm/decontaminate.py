@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .workspace import Workspace, fits
+from .workspace import Workspace, fits, row_key, without_rows
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words, after lower-casing A-Z.
@@ -44,7 +44,8 @@ class Index:
         self.broadcast_rows = broadcast_rows
         text = F.col(text_col).cast("string")
         # Rows are told apart by 96 bits of their id and text; rows that agree in both have the same result.
-        self.docs = docs.select(F.col(id_col), F.xxhash64(F.col(id_col), text).alias("k1"), F.hash(text, F.col(id_col)).alias("k2"), text.alias("_text"))
+        k1, k2 = row_key(F.col(id_col), text)
+        self.docs = docs.select(F.col(id_col), k1.alias("k1"), k2.alias("k2"), text.alias("_text"))
         items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w")).filter(F.size("w") > 0)
         starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (window - 1), F.lit(1)))
         grams = items.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, window))).alias("gram"))
@@ -53,8 +54,16 @@ class Index:
         self.items = grams.join(self.windows, "gram").select("win", "item_id")
         terms = self.windows.select(F.explode("gram").alias("term")).distinct().withColumn("tid", F.monotonically_increasing_id())
         self.terms = self.work.cut(terms, "terms")
-        tokens = self.docs.select(*KEY, F.posexplode(words(F.col("_text"))).alias("pos", "term"))
-        self.postings = self.work.cut(tokens.join(_small(self.terms, broadcast_rows), "term").select(*KEY, "pos", "tid"), "postings")
+        # One pass over the texts. A row's first word stands for the row whether the benchmark has it or not, and carries the
+        # id and the number of words; a row without words has one posting without position.
+        split = self.docs.select(F.col(id_col).alias("id"), *KEY, words(F.col("_text")).alias("w"))
+        tokens = split.select("id", *KEY, F.size("w").cast("long").alias("n_words"), F.posexplode_outer("w").alias("pos", "term"))
+        heads = F.coalesce(F.col("pos"), F.lit(0)) == 0
+        found = tokens.join(_small(self.terms, broadcast_rows), "term", "left").filter(heads | F.col("tid").isNotNull())
+        found = found.select(F.when(heads, F.col("id")).alias("id"), *KEY, F.when(heads, F.col("n_words")).alias("n_words"), "pos", "tid")
+        log = self.work.cut(found, "postings")
+        self.rows = log.filter("n_words is not null").select("id", *KEY, "n_words")
+        self.postings = log.filter("tid is not null").select(*KEY, "pos", "tid")
         tf = self.postings.groupBy("tid").agg(F.count("*").alias("tf"))
         spelled = self.windows.select("win", F.size("gram").alias("len"), F.posexplode("gram").alias("off", "term")).join(self.terms, "term").join(tf, "tid")
         by_win = Window.partitionBy("win")
@@ -101,24 +110,41 @@ class Index:
         return met.join(wanted, "win").filter("met = terms").select(*KEY, "win", "at")
 
     def report(self) -> DataFrame:
-        """Per training row: n_words, n_hit, n_items, items (sorted as strings), contaminated."""
+        """Per training row: id, n_words, n_hit, n_items, items (sorted as strings), contaminated."""
         found = self.phrases()
         covered = found.select(*KEY, F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("pos")).distinct()
         hits = covered.groupBy(*KEY).agg(F.count("*").alias("n_hit"))
         named = found.select(*KEY, "win").distinct().join(_small(self.items, self.broadcast_rows), "win").select(*KEY, "item_id").distinct()
         named = named.groupBy(*KEY).agg(F.array_sort(F.collect_list("item_id")).alias("items"))
         found = self.work.cut(hits.join(named, KEY, "left"), "found")
-        out = self.docs.select(*[c for c in self.docs.columns if c != "_text"], F.size(words(F.col("_text"))).cast("long").alias("n_words"))
-        out = out.join(found, KEY, "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
-        return out.select(self.docs.columns[0], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+        out = self.rows.join(found, KEY, "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+        return out.select("id", *KEY, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """One row per input row: id, n_words, n_hit, n_items, items, contaminated.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10, slop: int | None = None, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """One row per input row: id, n_words, n_hit, n_items, items, contaminated; with ``slop`` also n_near, the windows with
+    a proximity match: all their terms in any order, at most window length plus ``slop`` words from their rarest term.
 
     A word is hit if it lies inside an occurrence of a window. Defined cases: a null text has no words; a benchmark item
     without words or text has no window, one with a null id counts for hits and is in no list of items; several items may
-    share a window; repeated rows have equal results; empty tables give an empty result or rows without hits. Other columns are
-    left behind.
+    share a window; repeated rows have equal results; texts are whole, however long; empty tables give an empty result or
+    rows without hits. Other columns are left behind, whatever their names.
     """
-    return Index(docs, benchmark, id_col, text_col, window, broadcast_rows).report()
+    index = Index(docs, benchmark, id_col, text_col, window, broadcast_rows)
+    out = index.report()
+    if slop is not None:
+        near = index.proximity(slop).groupBy(*KEY).agg(F.count_distinct("win").alias("n_near"))
+        out = out.join(index.work.cut(near, "near"), KEY, "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
+    return out.drop(*KEY).withColumnRenamed("id", id_col)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The input's rows, all columns, without those that hold a window of the benchmark.
+
+    Rows are known by their id and text. Defined cases: null, empty and wordless texts stay; repeated rows stay or go together;
+    a null id is like any other; columns may have any names; without items all rows stay; an empty table stays empty.
+    """
+    index = Index(docs, benchmark, id_col, text_col, window, broadcast_rows)
+    leaks = index.work.cut(index.phrases().select(*KEY).distinct(), "leaks")
+    index.work.drop("postings", "left", "phrases", "lists")
+    return without_rows(docs, leaks, id_col, text_col)

@@ -4,10 +4,13 @@
    by hash. A shingle's key holds both, so that sorting keys is sorting by the global order.
 2. Rows with equal shingle sets form one node. Two nodes can only reach the threshold if their prefixes (the rarest
    shingles, about a fifth of a set) share a key.
-3. A candidate pair's overlap is counted by fragments: the order is cut at fixed pivots, a fragment's segments of both
-   sets are intersected on their own, and the partial counts are summed per pair.
+3. The order is cut at fixed pivots. A set's keys between two pivots are its segment of that fragment, a row of its own.
+   Each fragment counts the overlaps of its candidate pairs apart, one row per pair and fragment, and these partial
+   counts are summed per pair.
 4. Nodes that share a prefix key are first paired along chains. Only nodes that are then still in different components
    are paired in full, so a group of g near copies costs about g pairs, and every link between components is tested.
+5. A key that many nodes share is cut up: chains run within blocks of its nodes (other blocks in another turn), and the
+   pairs across components are made by blocks of both sides.
 """
 
 from __future__ import annotations
@@ -24,11 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
-from .workspace import Workspace, fits, give_back, small_batches
+from .workspace import Workspace, fits, give_back, row_key, small_batches, unused, without_rows
 
 WORDS, PERCENT = 5, 80
 #: Cells of the frequency sketch: 2**CELL_BITS counters, whatever the corpus.
 CELL_BITS = 22
+#: Nodes of one key in one block of a chain, and pairs of nodes of one key that one block tests.
+CHAIN_NODES, BLOCK_PAIRS = 5_000, 4_000_000
 #: The top bits of a key hold the frequency class.
 _CLASS_BITS = 8
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -86,9 +91,10 @@ def frequency_classes(texts: DataFrame, fragments: int) -> tuple[np.ndarray, np.
     """The frequency class of every cell of the hash space, and the pivots that cut the order into fragments of about
     equal mass.
 
-    All shingles of all documents are counted. Tasks send one compressed sketch each; they are added in two levels, the
-    second of eight tasks, and the driver adds those. A class is a sixteenth of a doubling above or below the usual cell: shingles that even a
-    few dozen documents share come after those of one document.
+    All shingles of all documents are counted. Tasks send one compressed sketch each; they are added level by level, and the
+    last task, which gets eight sketches of fixed size, sends the driver the classes, a byte for each cell. A class is a
+    sixteenth of a doubling above or below the usual cell: shingles that even a few dozen documents share come after those
+    of one document.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,31 +105,35 @@ def frequency_classes(texts: DataFrame, fragments: int) -> tuple[np.ndarray, np.
         yield _blob(total)
         _rest()
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def added(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros(1 << CELL_BITS, np.int64)
         for batch in batches:
             for x in batch.column(0).to_pylist():
                 total += _unblob(x)
-        yield _blob(total)
+        return total
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield _blob(added(batches))
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, mass = _classes(added(batches))
+        cuts = np.minimum(np.searchsorted(mass, mass[-1] * np.arange(1, fragments) / fragments) + 1, 255)
+        yield pa.RecordBatch.from_arrays([pa.array([classes.tobytes()], pa.binary()), pa.array([cuts.tolist()], pa.list_(pa.int64()))], names=["classes", "cuts"])
+        give_back()
 
     sketches = texts.mapInArrow(count, "sketch binary")
     many = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8
     for tasks in (many, 8) if many > 8 else (8,):
         sketches = sketches.repartition(tasks).mapInArrow(add, "sketch binary")
-    total = np.zeros(1 << CELL_BITS, np.int64)
-    for r in sketches.collect():
-        total += _unblob(r["sketch"])
+    found = sketches.repartition(1).mapInArrow(rank, "classes binary, cuts array<long>").first()
+    return np.frombuffer(found["classes"], np.uint8), np.array(found["cuts"], np.uint64) << np.uint64(64 - _CLASS_BITS)
+
+
+def _classes(total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells' classes from their counts, and the mass of all classes up to each one."""
     base = float(np.median(total)) + 1
-    classes, mass = np.zeros(len(total), np.uint8), np.zeros(256)
-    for i in range(0, len(total), 1 << 18):  # in pieces: the driver is small
-        part = total[i : i + (1 << 18)]
-        classes[i : i + (1 << 18)] = c = np.clip(np.round(64 + 16 * np.log2((part + 1) / base)), 0, 255).astype(np.uint8)
-        mass += np.bincount(c, part, minlength=256)
-    del total
-    give_back()
-    mass = np.cumsum(mass)
-    cuts = np.minimum(np.searchsorted(mass, mass[-1] * np.arange(1, fragments) / fragments) + 1, 255)
-    return classes, cuts.astype(np.uint64) << np.uint64(64 - _CLASS_BITS)
+    classes = np.clip(np.round(64 + 16 * np.log2((total + 1) / base)), 0, 255).astype(np.uint8)
+    return classes, np.cumsum(np.bincount(classes, total, minlength=256))
 
 
 def _blob(total: np.ndarray) -> pa.RecordBatch:
@@ -162,7 +172,7 @@ def _prefixes(classes) -> object:
                 prefix.append(None if s is None or s in seen else keys[: prefix_size(len(keys))].astype(np.int64))
                 parity.append(None if s is None else _parity(keys))
                 seen.add(s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, f.type) for c, f in zip((n, sig, prefix, parity), schema, strict=True)]], names=["id", *schema.names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, f.type) for c, f in zip((n, sig, prefix, parity), schema, strict=True)]], names=["row", *schema.names])
         _rest()
 
     return run
@@ -172,7 +182,7 @@ def _segments(classes, pivots: np.ndarray) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            node, first, others = [], [], []
+            node, segments = [], []
             for text, want, sig in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if want in seen:  # a repeated row
                     continue
@@ -180,12 +190,13 @@ def _segments(classes, pivots: np.ndarray) -> object:
                 if _signature(keys) != sig:  # another text under the same id
                     continue
                 seen.add(want)
-                parts = [p.astype(np.int64) for p in np.split(keys, np.searchsorted(keys, pivots))]
                 node.append(want)
-                first.append(parts[0])
-                others.append(parts[1:])
-            keys_type = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(first, keys_type), pa.array(others, pa.list_(keys_type))], names=["node", "first", "others"])
+                segments.append([p.astype(np.int64) for p in np.split(keys, np.searchsorted(keys, pivots))])
+            many = len(pivots) + 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(np.array(node, np.int64), many)), pa.array(np.tile(np.arange(many, dtype=np.int32), len(node))), pa.array([p for x in segments for p in x], pa.list_(pa.int64()))],
+                names=["node", "fragment", "keys"],
+            )
         _rest()
 
     return run
@@ -212,12 +223,15 @@ class Join:
         small_batches(self.spark)
         self.work = Workspace(self.spark, "ngram-join")
         self.fragments, self.broadcast_rows = fragments, broadcast_rows
-        self.texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+        text = F.col(text_col).cast("string")
+        k1, k2 = row_key(F.col(id_col), text)
+        self.texts = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+        keyed = docs.select(F.struct(F.col(id_col).alias("id"), k1.alias("k1"), k2.alias("k2")).alias("row"), text.alias("text"))
         self.kind = self.texts.schema["id"].dataType.simpleString()
         classes, self.pivots = frequency_classes(self.texts.select("text"), fragments)
         self.classes = self.spark.sparkContext.broadcast(classes)
-        self.prefixes = self.work.cut(self.texts.mapInArrow(_prefixes(self.classes), f"id {self.kind}, n long, sig string, prefix array<long>, parity array<long>"), "prefixes")
-        self.rows = self.work.cut(self.prefixes.select("id", "n", "sig"), "rows")
+        self.prefixes = self.work.cut(keyed.mapInArrow(_prefixes(self.classes), f"row struct<id:{self.kind},k1:long,k2:int>, n long, sig string, prefix array<long>, parity array<long>").select("row.*", "n", "sig", "prefix", "parity"), "prefixes")
+        self.rows = self.work.cut(self.prefixes.select("id", "k1", "k2", "n", "sig"), "rows")
         nodes = self.prefixes.filter(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("parity").alias("parity"))
         self.nodes = self.work.cut(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
         self.tested: DataFrame | None = None
@@ -225,12 +239,16 @@ class Join:
         self.links: list[DataFrame] = []
 
     def shared(self) -> DataFrame:
-        """Prefix keys that several nodes have, one row per node and key. Each task sent a set's prefix once, so a node has
-        few rows of a key that are alike."""
-        spread = self.prefixes.filter(F.col("prefix").isNotNull()).join(self.nodes.select("sig", "node"), "sig").select("node", "n", F.posexplode("prefix").alias("pos", "key"))
-        several = spread.withColumn("least", F.min("node").over(w := Window.partitionBy("key"))).withColumn("most", F.max("node").over(w))
-        shared = self.work.cut(several.filter("least <> most").select("key", "node", "n", "pos").distinct(), "shared")
-        self.work.drop("prefixes")
+        """Prefix keys that several nodes have, one row per node and key, with the key's number of nodes. Each task sent a
+        set's prefix once, so a node has few rows of a key that are alike."""
+        spread = self.prefixes.filter(F.col("prefix").isNotNull()).select("sig", "n", F.posexplode("prefix").alias("pos", "key"))
+        mark = F.xxhash64("sig")  # two sets under one mark would be taken for one, with a chance of 2^-64 for a key of two sets
+        several = spread.groupBy("key").agg(F.min(mark).alias("least"), F.max(mark).alias("most"), F.count("*").alias("rows")).filter("least <> most").select("key", "rows")
+        several = self.work.cut(several, "several")
+        side = F.broadcast(several) if fits(several, self.broadcast_rows) else several
+        shared = spread.join(side, "key").join(self.nodes.select("sig", "node"), "sig").select("key", "node", "n", "pos", "rows")
+        shared = self.work.cut(shared.distinct(), "shared")
+        self.work.drop("prefixes", "several")
         return shared
 
     def with_comps(self, shared: DataFrame) -> DataFrame:
@@ -242,8 +260,11 @@ class Join:
         """Neighbours in an order of each key's nodes, if they are in different components.
 
         The order is by a hash, one of four by key, another four in another turn: chance neighbours, yet few distinct pairs.
+        A key with many nodes has several chains, of CHAIN_NODES each or so, and other ones in another turn.
         """
-        w = Window.partitionBy("key").orderBy(F.xxhash64("node", F.pmod("key", F.lit(4)), F.lit(turn)), "node")
+        place = F.xxhash64("node", F.pmod("key", F.lit(4)), F.lit(turn))
+        block = F.pmod(F.shiftright(place, 20), F.ceil(F.col("rows") / CHAIN_NODES))
+        w = Window.partitionBy("key", block).orderBy(place, "node")
         prev = F.lag(F.struct("node", "n", "pos", "comp")).over(w)
         near = self.with_comps(shared).withColumn("p", prev).filter(F.col("p").isNotNull() & (F.col("p.comp") != F.col("comp")))
         return near.filter(_may_reach(F.col("n"), F.col("p.n"), F.col("pos"), F.col("p.pos"))).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
@@ -252,15 +273,21 @@ class Join:
         """All pairs of nodes with a common prefix key that are in different components.
 
         Per key, nodes outside its largest component are paired with all others: none of that component's own pairs is made.
+        A key's pairs are made by blocks of about BLOCK_PAIRS, each a part of both sides.
         """
         rows = self.with_comps(shared)
-        mixed = rows.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count("*").alias("comps")).filter("comps > 1").drop("comps")
-        rows = self.work.cut(rows.join(mixed, "key").join(self.nodes.select("node", "parity"), "node"), "mixed")
-        o, x = rows.filter("comp <> major").alias("o"), rows.alias("x")
+        mixed = rows.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.max("c").alias("c"), F.sum("c").alias("all"), F.count("*").alias("comps")).filter("comps > 1")
+        blocks = F.ceil(F.sqrt((F.col("all") - F.col("c")) * F.col("all").cast("double") / BLOCK_PAIRS)).cast("int").alias("blocks")
+        rows = self.work.cut(rows.drop("rows").join(mixed.select("key", "major", blocks), "key").join(self.nodes.select("node", "parity"), "node"), "mixed")
+        mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        o = rows.filter("comp <> major").select("*", mine.alias("one")).select("*", every.alias("other")).alias("o")
+        x = rows.select("*", mine.alias("other")).select("*", every.alias("one")).alias("x")
+        met = (F.col("o.key") == F.col("x.key")) & (F.col("o.one") == F.col("x.one")) & (F.col("o.other") == F.col("x.other"))
         differ = (F.col("o.comp") != F.col("x.comp")) & ((F.col("x.comp") == F.col("x.major")) | (F.col("o.node") < F.col("x.node")))
         reach = _may_reach(F.col("o.n"), F.col("x.n"), F.col("o.pos"), F.col("x.pos"))
         parts = _differ_little(F.col("o.n"), F.col("x.n"), F.col("o.parity"), F.col("x.parity"))
-        return o.join(x, (F.col("o.key") == F.col("x.key")) & differ & reach & parts).select(F.least("o.node", "x.node").alias("a"), F.greatest("o.node", "x.node").alias("b"))
+        return o.join(x, met & differ & reach & parts).select(F.least("o.node", "x.node").alias("a"), F.greatest("o.node", "x.node").alias("b"))
 
     def test(self, pairs: DataFrame, name: str) -> DataFrame:
         """Counts the pairs' overlaps by fragments and returns the links (u, v, shared)."""
@@ -277,27 +304,26 @@ class Join:
         side = wanted.select("node", "first_id", "sig")
         side = F.broadcast(side) if fits(wanted, self.broadcast_rows) else side
         texts = self.texts.join(side, F.col("id").eqNullSafe(F.col("first_id"))).select("text", "node", "sig")
-        segments = texts.mapInArrow(_segments(self.classes, self.pivots), "node long, first array<long>, others array<array<long>>")
-        segments = self.work.cut(segments, f"segments-{name}")
+        segments = self.work.cut(texts.mapInArrow(_segments(self.classes, self.pivots), "node long, fragment int, keys array<long>"), f"segments-{name}")
         sizes = wanted.select("node", "n")
         pairs = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-        enough = (F.col("na") + F.col("nb")) * PERCENT
-
-        def side(of: str, column: str) -> DataFrame:
-            return segments.select(F.col("node").alias(of), F.col(column).alias(f"s{of}"))
-
-        # The first fragment for all pairs. Most candidates that share a passage only are out of reach after it.
-        part = F.size(F.array_intersect("sa", "sb")).cast("long")
-        rest = F.least(F.col("na") - F.size("sa"), F.col("nb") - F.size("sb"))
-        first = pairs.join(side("a", "first"), "a").join(side("b", "first"), "b").withColumn("part", part)
-        alive = self.work.cut(first.filter((F.col("part") + rest) * (100 + PERCENT) >= enough).select("a", "b", "na", "nb", "part").distinct(), f"alive-{name}")
-        # The other fragments, one by one, for those that are left; a pair's overlap is the sum over its fragments.
-        counts = F.zip_with("sa", "sb", lambda x, y: F.size(F.array_intersect(x, y)))
-        others = F.aggregate(counts, F.lit(0).cast("long"), lambda s, n: s + n)
-        summed = alive.join(side("a", "others"), "a").join(side("b", "others"), "b").select("a", "b", "na", "nb", (F.col("part") + others).alias("shared"))
-        linked = summed.filter(F.col("shared") * (100 + PERCENT) >= enough).distinct()  # repeated rows of the table were tested twice
+
+        def side(of: str) -> DataFrame:
+            return segments.select(F.col("node").alias(of), "fragment", F.col("keys").alias(f"s{of}"))
+
+        # One row per pair and fragment. The first fragment for all pairs: most candidates that share a passage only are out of
+        # reach after it.
+        part = F.size(F.array_intersect("sa", "sb")).cast("long").alias("part")
+        rest = F.least(F.col("na") - F.size("sa"), F.col("nb") - F.size("sb")).alias("rest")
+        first = pairs.join(side("a").filter("fragment = 0"), "a").join(side("b").filter("fragment = 0").drop("fragment"), "b").select("a", "b", "na", "nb", part, rest)
+        first = self.work.cut(first.filter((F.col("part") + F.col("rest")) * (100 + PERCENT) >= (F.col("na") + F.col("nb")) * PERCENT).drop("rest").distinct(), f"first-{name}")  # a node's rows of unlike tasks were cut up twice
+        # The other fragments for those that are left; a pair's overlap is the sum over its fragments.
+        met = first.drop("part").join(side("a").filter("fragment > 0"), "a").join(side("b"), ["b", "fragment"])
+        parts = met.select("a", "b", "na", "nb", "fragment", part).distinct().drop("fragment").unionByName(first)
+        summed = parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("shared"))
+        linked = summed.filter(F.col("shared") * (100 + PERCENT) >= (F.col("na") + F.col("nb")) * PERCENT)
         links = self.work.cut(linked.select(F.col("a").alias("u"), F.col("b").alias("v"), "shared"), f"links-{name}")
-        self.work.drop(f"segments-{name}", f"wanted-{name}")
+        self.work.drop(f"segments-{name}", f"wanted-{name}", f"first-{name}")
         return links
 
     def merge(self, links: DataFrame, name: str) -> None:
@@ -320,15 +346,34 @@ class Join:
             links = self.test(self.chain(shared, turn), f"chain{turn}")
             self.merge(links, f"chain{turn}")
         self.merge(self.test(self.across(shared), "across"), "across")
+        self.work.drop("shared", "mixed")
+        self.classes.destroy()  # all that needed it is written
+
+    def components(self) -> DataFrame:
+        """(sig, comp) of every set, and of its row with the smallest id (nulls last): first_id, k1, k2."""
+        named = self.nodes.join(self.comps, "node", "left")
+        return named.select("sig", "first_id", F.coalesce("comp", "node").alias("comp"))
+
+    def _many(self) -> DataFrame:
+        """Sets with over a thousand rows: at most a thousandth of the rows."""
+        many = self.rows.filter("sig is not null").groupBy("sig").agg(F.count("*").alias("c")).filter(F.col("c") > 1000).select("sig", F.lit(True).alias("many"))
+        return F.broadcast(many) if fits(many, self.broadcast_rows // 10) else many
+
+    def others(self) -> DataFrame:
+        """Keys (k1, k2) of all rows but one of each component, the one with the smallest id (nulls last), then key."""
+        place = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")
+        best = self.rows.filter("sig is not null").groupBy("sig").agg(F.min(place).alias("best"))
+        best = best.join(self.components().select("sig", "comp"), "sig").groupBy("comp").agg(F.min("best").alias("best")).select("best.k1", "best.k2")
+        return self.rows.filter("sig is not null").select("k1", "k2").join(best, ["k1", "k2"], "left_anti")
 
     def result(self) -> DataFrame:
-        named = self.nodes.join(self.comps, "node", "left").select("sig", "first_id", F.coalesce("comp", "node").alias("comp"))
+        named = self.components()
         least = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
         by_sig = self.work.cut(named.join(least, "comp").select("sig", "component_id"), "named")
         # A hot signature's rows would meet in one task: rows are salted, and the few signatures with many rows are repeated.
         salts = 16
         rows = self.rows.select("id", "n", "sig", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"))
-        many = self.rows.groupBy("sig").agg(F.count("*").alias("c")).filter(F.col("c") > 1000).select("sig", F.lit(True).alias("many"))
+        many = self._many()
         side = by_sig.join(many, "sig", "left").select("sig", "component_id", F.explode(F.when(F.col("many"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(-1)))).alias("slot"))
         tagged = rows.join(many, "sig", "left").withColumn("slot", F.when(F.col("many"), F.col("salt").cast("int")).otherwise(-1))
         out = tagged.join(side, ["sig", "slot"], "left")
@@ -340,11 +385,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a set holds the distinct 5-word shingles. Rows link when
     100 * intersection >= 80 * union. Defined cases: fewer words than five are one shingle; a null or blank text has no
-    shingle, links with nothing and is its own component; equal sets are linked; a null id gets its component's smallest
-    id, null if there is none; an empty table gives an empty result. Other columns are left behind.
+    shingle, links with nothing and is its own component; equal sets (repeated rows among them) are linked; a null id gets its
+    component's smallest id, null if there is none; texts are whole, however long; an empty table gives an empty result. Other
+    columns are left behind, whatever their names.
 
     ``broadcast_rows`` bounds the ids broadcast to fetch candidates' texts again; beyond it the join is shuffled.
     """
     join = Join(docs, id_col, text_col, fragments, broadcast_rows)
     join.run()
     return join.result().withColumnRenamed("id", id_col)
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fragments: int = 4, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The input's rows, all columns, with one row of each component of ``near_duplicates``: the one with the smallest id.
+
+    Rows are known by their id and text. Defined cases: a null or blank text stays, as often as it is there; a null id comes
+    after all others; of rows with one id in one component one stays, and of rows that agree in id and text one, whichever
+    their other columns; columns may have any names; an empty table stays empty.
+    """
+    join = Join(docs, id_col, text_col, fragments, broadcast_rows)
+    join.run()
+    kept = without_rows(docs, join.work.cut(join.others(), "others"), id_col, text_col)
+    repeated = join.rows.filter("sig is not null").groupBy("k1", "k2").agg(F.count("*").alias("c")).filter("c > 1")
+    if repeated.isEmpty():
+        return kept
+    # Rows that agree in id and text are told apart only if there are any: it shuffles the texts. Blank ones all stay.
+    a, b, c = unused(docs, "_k1", "_k2", "_nth")
+    one, two = row_key(docs[id_col], docs[text_col].cast("string"))
+    blank = F.rlike(F.coalesce(docs[text_col].cast("string"), F.lit("")), F.lit(r"^[ \t-\r]*$"))
+    return kept.withColumns({a: one, b: two, c: F.when(blank, F.monotonically_increasing_id()).otherwise(-1)}).dropDuplicates([a, b, c]).drop(a, b, c)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, fits
+from .workspace import Workspace, fits, row_key, unused
 
 KINDS = ("email", "ip", "card", "phone")
 # The leftmost match of email starts where a run of its characters does, or where the last match ended: \G. Together with
@@ -116,8 +116,8 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gene
     A term is flagged with a value if ``min_texts`` different texts at least hold both, wherever they stand (copies of one
     text count once), and it discloses ``generalise`` of the value's information or more. Document frequencies of values, terms
     and both together are counted over all rows, copies included. Every occurrence of a flagged term outside base spans is marked in documents that
-    hold the value. Defined cases: a null text is empty and has no span; repeated rows have equal spans;
-    an empty table gives an empty result. Other columns are left behind.
+    hold the value. Defined cases: a null text is empty and has no span; repeated rows have equal spans; texts are whole, however
+    long; an empty table gives an empty result. Other columns are left behind, whatever their names.
     """
     work = Workspace(docs.sparkSession, "pii")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -174,14 +174,20 @@ def _entity(s: Column) -> Column:
 def sanitise(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows with ``sanitised``: base spans become their kind's tag, generalised terms ``[NAME]`` or ``[WORD]`` by their
     first letter's case, removed terms nothing. Where spans overlap, the one that starts first (the longer of two) counts.
+
+    ``found``: what ``detect`` gives for these rows; rows that it doesn't name stay as they are. Defined cases: a null text becomes
+    empty; repeated rows stay repeated; texts are whole, however long; columns may have any names but ``sanitised``, which is
+    replaced; an empty table stays empty.
     """
-    keyed = docs.withColumn("_k1", F.xxhash64(F.col(id_col), F.col(text_col))).withColumn("_k2", F.hash(F.col(text_col), F.col(id_col)))
+    a, b, place = unused(docs, "_k1", "_k2", "_spans")
+    one, two = row_key(docs[id_col], docs[text_col])
+    keyed = docs.withColumns({a: one, b: two})
     spans = F.array_sort(F.concat(
         F.transform("base", lambda b: F.struct(b["start"].alias("start"), (-b["end"]).alias("back"), F.concat(F.lit("["), F.upper(b["kind"]), F.lit("]")).alias("tag"))),
         F.transform("terms", lambda t: F.struct(t["start"].alias("start"), (-t["end"]).alias("back"), F.when(t["act"] == "remove", F.lit("")).otherwise(F.lit("[]")).alias("tag"))),
     ))
-    side = found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), spans.alias("_spans")).dropDuplicates(["_k1", "_k2"])
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    side = found.select(F.col("k1").alias(a), F.col("k2").alias(b), spans.alias(place)).dropDuplicates([a, b])
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
 
     def add(acc: Column, s: Column) -> Column:
         word = F.substr(text, s["start"] + 1, F.lit(1))
@@ -192,9 +198,9 @@ def sanitise(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     end = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1, F.char_length(text)))
-    joined = keyed.join(side, ["_k1", "_k2"], "left")
-    clean = F.when(F.size("_spans") > 0, F.aggregate("_spans", start, add, end)).otherwise(text)
-    return joined.withColumn("sanitised", clean).drop("_k1", "_k2", "_spans")
+    joined = keyed.join(side, [a, b], "left")
+    clean = F.when(F.size(place) > 0, F.aggregate(place, start, add, end)).otherwise(text)
+    return joined.withColumn("sanitised", clean).drop(a, b, place)
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -184,7 +184,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col:
 
     Only the text enters a score. Defined cases: a null text counts as empty and is scored like any other; a null id
     is held out; labels that are null are ignored, several of one id are averaged; without any label every score is 0.5;
-    repeated rows score alike; an empty table gives an empty result. Other columns are left behind.
+    repeated rows score alike; texts are whole, however long; an empty table gives an empty result. Other columns are left
+    behind, whatever their names.
     """
     work = Workspace(docs.sparkSession, "quality")
     measured = work.cut(measure(docs, id_col, text_col), "measured")
@@ -201,7 +202,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col:
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows, all columns, that ``classify`` predicts to be good. Texts are measured once more in place
-    rather than shuffled to meet their scores."""
+    rather than shuffled to meet their scores. Defined cases as there; columns may have any names; without any label all
+    rows stay."""
     model = fit(Workspace(docs.sparkSession, "quality").cut(measure(docs, id_col, text_col), "measured"), labels)
     at = docs.columns.index(text_col)
 

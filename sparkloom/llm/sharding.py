@@ -49,7 +49,8 @@ def number_rows(df: DataFrame, order: list[Column], work: Workspace) -> tuple[Da
     written with their place within the partition; the partitions' sizes, one row each, give the offsets.
 
     A hot key is spread over partitions: a last sort key tells repeated rows apart. It may differ from run to run,
-    and only rows that agree in ``order`` can change places by it.
+    and only rows that agree in ``order`` can change places by it. Nulls sort as ``order`` says; an empty table has no
+    numbers.
     """
     placed = (
         df.withColumn("_salt", F.monotonically_increasing_id())
@@ -76,7 +77,8 @@ def shard(docs: DataFrame, shards: int = 16, key: int = 20240229, id_col: str =
     """One row per input row: id, size (UTF-8 bytes of the text plus 1), text_crc32, shard and slot.
 
     Defined cases: a null text has size 1 and the checksum of no bytes; a null id sorts first; repeated rows get
-    slots of their own; an empty table gives an empty result. Other columns are left behind, whatever their names.
+    slots of their own; texts are whole, however long; an empty table gives an empty result. Other columns are left behind,
+    whatever their names.
     """
     work = Workspace(docs.sparkSession, "shard")
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")

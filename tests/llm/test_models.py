@@ -58,6 +58,34 @@ def test_join_matches_brute_force(spark, sf):
     assert got_components(df) == brute_components(rows)
 
 
+def test_join_in_small_blocks(spark, monkeypatch):
+    """Hot keys are cut up: chains of two nodes and blocks of a few pairs change no component."""
+    base = [f"w{i}" for i in range(60)]
+    rng, rows = np.random.default_rng(5), []
+    for i in range(80):
+        w = list(base)
+        for p in rng.integers(0, 60, 1 + i % 3):
+            w[p] = f"x{rng.integers(1000)}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, "one two three four five " + " ".join(f"y{i}z{j}" for j in range(i % 4))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows)
+    monkeypatch.setattr(ngram_join, "CHAIN_NODES", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK_PAIRS", 3)
+    assert got_components(df) == want
+
+
+def test_one_row_of_each_component_stays(spark):
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(3, near, 1), (5, near + " extra", 2), (5, "quite another text that is like no other one here", 3), (7, near, 4), (7, near, 5), (None, near, 6), (8, None, 7), (8, " ", 8), (8, " ", 9), (None, "lost one without any number but words", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _K1 int")
+    kept = ngram_join.without_near_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["_K1"] for r in kept.collect()) == [1, 3, 7, 8, 9, 10]
+    alone = ngram_join.without_near_copies(docs.filter("doc_id = 7 or doc_id is null")).collect()
+    assert [r["doc_id"] for r in alone if r["text"] == near] == [7]
+
+
 def test_join_of_nothing(spark, none):
     assert ngram_join.near_duplicates(none).count() == 0
     assert got_components(spark.createDataFrame([(1, None), (2, " ")], "doc_id long, text string")) == [(1, 0, 1), (2, 0, 2)]
@@ -82,6 +110,38 @@ def test_quality_on_held_out_rows(spark):
     assert quality.accepted(docs, labels).count() == sum(r["predicted"] for r in rows)
 
 
+def test_quality_fit_matches_one_process(spark):
+    """The same ridge system and calibration from all labelled rows at once, without Spark."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    truth = {str(r["doc_id"]): float(r["quality"]) for r in labels.collect()}
+    stats = {str(r["doc_id"]): quality.statistics(r["text"] or "") for r in docs.collect()}
+    learnt = sorted(i for i in stats if i in truth and zlib.crc32(i.encode()) % 5)
+    x, y = np.array([stats[i] for i in learnt]), np.array([truth[i] for i in learnt])
+    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
+    rng = np.random.default_rng(7)
+    w, b = rng.normal(0, 1 / 6, (x.shape[1], 256)), rng.uniform(0, 2 * np.pi, 256)
+    features = lambda a: np.hstack([np.sqrt(2 / 256) * np.cos(np.clip((a - mean) / scale, -6, 6) @ w + b), np.ones((len(a), 1))])
+    fits = np.array([zlib.crc32(f"{i}/calibrate".encode()) % 4 != 0 for i in learnt])
+    z = features(x[fits])
+    beta = np.linalg.solve(z.T @ z + 1e-3 * fits.sum() * np.eye(257), z.T @ y[fits])
+    raw, good = np.round(features(x[~fits]) @ beta, 3), y[~fits]
+    points = sorted({r: (r, good[raw == r].mean(), (raw == r).sum()) for r in raw}.values())
+    # Isotonic regression by its min-max formula; then the same smoothing of each block.
+    n = len(points)
+    mass = lambda i, j: sum(p[2] for p in points[i : j + 1])
+    share = lambda i, j: sum(p[1] * p[2] for p in points[i : j + 1]) / mass(i, j)
+    level = [round(max(min(share(i, j) for j in range(k, n)) for i in range(k + 1)), 12) for k in range(n)]
+    blocks = [[k for k in range(n) if level[k] == v] for v in sorted(set(level))]
+    knots = [sum(points[k][0] * points[k][2] for k in c) / sum(points[k][2] for k in c) for c in blocks]
+    values = np.maximum.accumulate([(sum(points[k][1] * points[k][2] for k in c) + good.mean()) / (sum(points[k][2] for k in c) + 1) for c in blocks])
+    ids = list(stats)
+    want = dict(zip(ids, np.clip(np.interp(features(np.array([stats[i] for i in ids])) @ beta, knots, values), 0, 1), strict=True))
+    rows = quality.classify(docs, labels).collect()
+    assert len(rows) == len(ids)
+    assert max(abs(r["score"] - want[str(r["doc_id"])]) for r in rows) < 1e-6
+
+
 def test_quality_edge_cases(spark, odd, none):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 13)] + [(4, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     rows = quality.classify(odd, labels).collect()
@@ -104,38 +164,6 @@ def test_isotonic_is_monotone():
     assert (np.diff(y) >= 0).all() and (np.diff(x) > 0).all()
 
 
-def test_lm_losses_match_brute_force(spark, odd, none):
-    v = lm_score.Vocabulary(word_bits=12, pair_bits=14)
-    target = spark.createDataFrame([(4,), (5,), (7,), (None,)], "doc_id long")
-    rows = lm_score.score(odd, target, vocabulary=v).collect()
-    texts = [(r["doc_id"], r["text"]) for r in odd.collect()]
-    counts = {s: [Counter(), Counter()] for s in (True, False)}
-    for i, t in texts:
-        w, p = v.slots(t)
-        for s in [True, False] if i in (4, 5, 7) else [False]:
-            counts[s][0].update(w.tolist())
-            counts[s][1].update(p.tolist())
-    n = {s: sum(c[0].values()) for s, c in counts.items()}
-
-    def loss(t, s):
-        w, p = v.slots(t)
-        f, total = (1 if s else n[True] / n[False]), 0.0
-        for j in range(len(w)):
-            single = (counts[s][0][w[j]] * f + 1) / (n[True] + (1 << 12))
-            if j:
-                c = counts[s][0][w[j - 1]] * f
-                single = (min(counts[s][1][p[j]] * f, c) + 8 * single) / (c + 8)
-            total -= math.log(single)
-        return total / len(w) if len(w) else 0.0
-
-    assert len(rows) == len(texts)
-    for r in rows:
-        t = next(t for i, t in texts if i == r["doc_id"])
-        assert abs(r["target_loss"] - loss(t, True)) < 1e-3 and abs(r["background_loss"] - loss(t, False)) < 1e-3
-        assert abs(r["difference"] - (r["target_loss"] - r["background_loss"])) < 1e-9
-    assert lm_score.score(none, target).count() == 0
-
-
 def test_lm_counts_real_ngrams(spark, odd):
     odd = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(100 + i, f"w{i} v{i} w{i} u{i % 7}") for i in range(500)], "doc_id long, text string"))
     wanted = {4, 5, 7, *range(100, 200)}
