@@ -340,7 +340,7 @@ class Join:
         fresh = new.select(F.col("comp").alias("node"), F.col("top").alias("comp")).join(old, "node", "left_anti")
         self.comps = self.work.cut(moved.unionByName(fresh), f"comps-{name}")
 
-    def run(self, turns: int = 3) -> None:
+    def run(self, turns: int = 2) -> None:
         shared = self.shared()
         for turn in range(turns):
             links = self.test(self.chain(shared, turn), f"chain{turn}")
