@@ -1,4 +1,5 @@
-"""Scans, sources and sinks. Captured formats are rebuilt from the tables as text and parsed again."""
+"""Scans, sources and sinks. Files are written from the tables to a scratch folder and read through the readers; what no file
+holds (a page's HTML) is parsed from its column."""
 
 from __future__ import annotations
 
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ranking
 from ..operators.runs import run_lengths
-from ..sources import readers, sinks
+from ..sources import readers, scratch, sinks
 from .catalogue import twin
 from .q_windows import _RUNS
 from .registry import query
@@ -14,34 +15,44 @@ from .registry import query
 
 @query("src01_json_lines", "select p_partkey as id, p_name as name, [p_brand, p_type] as tags, p_size as size from part")
 def _(c):
-    lines = c.table("part").select(F.to_json(F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.array("p_brand", "p_type").alias("tags"), F.col("p_size").alias("size"))).alias("value"))
-    return lines.select(F.from_json("value", "id long, name string, tags array<string>, size int").alias("r")).select("r.*")
+    path = scratch.folder(c.spark, "src01")
+    c.table("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.array("p_brand", "p_type").alias("tags"), F.col("p_size").alias("size")).write.json(path)
+    return readers.json_lines(c.spark, path, "id long, name string, tags array<string>, size int").filter("_corrupt_record is null").drop("_corrupt_record")
 
 
 @query("src02_json_prefilter", "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events where contains(props, '7')")
 def _(c):
-    return c.table("events").filter(F.col("props").contains("7")).select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+    path = scratch.folder(c.spark, "src02")
+    c.table("events").select(F.to_json(F.struct("event_id", "props")).alias("value")).write.text(path)
+    found = readers.json_lines_with(c.spark, path, "7", "event_id long, props string")  # the id may hold a 7 too
+    return found.filter(F.col("props").contains("7")).select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
 @query("src03_csv_subset", "select p_partkey, p_size from part")
 def _(c):
-    cells = c.table("part").select(F.concat_ws(",", "p_partkey", "p_brand", "p_size").alias("value"))
-    return cells.select(F.from_csv("value", "p_partkey long, p_brand string, p_size int").alias("r")).select("r.p_partkey", "r.p_size")
+    path = scratch.folder(c.spark, "src03")
+    sinks.write_csv(c.table("part").select("p_partkey", "p_name", "p_brand", "p_size"), path)
+    return readers.csv_text(c.spark, path, ["p_partkey", "p_size"]).select(F.col("p_partkey").cast("long").alias("p_partkey"), F.col("p_size").cast("int").alias("p_size"))
 
 
 @query("src04_csv_no_na", "select p_partkey, case when p_size % 5 = 0 then '' when p_size % 5 = 1 then 'NA' else 'x' end as cell from part")
 def _(c):
-    text = c.table("part").select(F.concat_ws(",", "p_partkey", F.when(F.col("p_size") % 5 == 0, "").when(F.col("p_size") % 5 == 1, "NA").otherwise("x")).alias("value"))
-    row = F.from_csv("value", "p_partkey long, cell string", {"nullValue": "\x00", "emptyValue": ""})
-    return text.select(row.alias("r")).select("r.p_partkey", F.coalesce("r.cell", F.lit("")).alias("cell"))
+    path = scratch.folder(c.spark, "src04")
+    cell = F.when(F.col("p_size") % 5 == 0, "").when(F.col("p_size") % 5 == 1, "NA").otherwise("x")
+    sinks.write_csv(c.table("part").select("p_partkey", cell.alias("cell")), path, bom=True)
+    return readers.csv_text(c.spark, path).select(F.col("p_partkey").cast("long").alias("p_partkey"), "cell")
 
 
 @query("src07_har_routing", "select page_id, regexp_extract(url, '://([^/?#]*)', 1) as host, case when regexp_matches(url, '://[^/]*/en/') then 'english' else 'french' end as endpoint, length(html) as body_chars from pages where regexp_matches(url, '://[^/]*/(en|fr)/')")
 def _(c):
-    p = c.table("pages")
-    entries = p.select("page_id", F.col("url"), F.try_parse_url("url", F.lit("HOST")).alias("host"), F.try_parse_url("url", F.lit("PATH")).alias("path"), F.base64(F.encode("html", "UTF-8")).alias("text"))
-    name = F.when(F.col("path").startswith("/en/"), "english").when(F.col("path").startswith("/fr/"), "french")
-    return entries.withColumn("endpoint", name).filter("endpoint is not null").select("page_id", "host", "endpoint", F.char_length(F.decode(F.unbase64("text"), "UTF-8")).alias("body_chars"))
+    """Captures of 500 requests a file; a capture's MIME type carries the page's id."""
+    path = scratch.folder(c.spark, "src07")
+    content = F.struct(F.concat(F.lit("text/html;id="), "page_id").alias("mimeType"), F.base64(F.encode("html", "UTF-8")).alias("text"), F.lit("base64").alias("encoding"))
+    entry = F.struct(F.struct(F.lit("GET").alias("method"), "url").alias("request"), F.struct(F.lit(200).alias("status"), content.alias("content")).alias("response"))
+    files = c.table("pages").groupBy(F.floor(F.col("page_id") / 500).alias("file")).agg(F.to_json(F.struct(F.struct(F.collect_list(entry).alias("entries")).alias("log"))).alias("value"))
+    files.write.partitionBy("file").text(path)
+    found = readers.route(readers.har_entries(c.spark, path), {"english": (None, "/en/"), "french": (None, "/fr/")})
+    return found.select(F.regexp_extract("mime", "id=(.*)", 1).cast("long").alias("page_id"), "host", "endpoint", F.char_length("body").alias("body_chars"))
 
 
 @query("src08_html_cards", "select page_id, (length(split_part(html, '</nav>', 1)) - length(replace(split_part(html, '</nav>', 1), '<li>', ''))) // 4 as cards from pages")
@@ -90,9 +101,19 @@ def _(c):
 
 @query("snk02_json_document", "select count(*) as n, sum(r_regionkey)::bigint as keys from region")
 def _(c):
-    r = c.table("region")
-    one = r.agg(F.to_json(F.sort_array(F.collect_list(F.struct("r_regionkey", "r_name")))).alias("doc"))
-    return one.select(F.from_json("doc", "array<struct<r_regionkey:int,r_name:string>>").alias("a")).select(F.size("a").cast("long").alias("n"), F.aggregate("a", F.lit(0).cast("long"), lambda s, x: s + x["r_regionkey"]).alias("keys"))
+    path = scratch.folder(c.spark, "snk02")
+    sinks.write_document(c.table("region").select("r_regionkey", "r_name"), path, "r_regionkey")
+    one = c.spark.read.text(path, wholetext=True).select(F.from_json("value", "array<struct<r_regionkey:int,r_name:string>>").alias("a"))
+    return one.select(F.size("a").cast("long").alias("n"), F.aggregate("a", F.lit(0).cast("long"), lambda s, x: s + x["r_regionkey"]).alias("keys"))
+
+
+@query("snk01_csv_with_mark", "select c_custkey, c_name, c_acctbal, cast(1 as bigint) as marked from customer")
+def _(c):
+    path = scratch.folder(c.spark, "snk01")
+    sinks.write_csv(c.table("customer").select("c_custkey", "c_name", "c_acctbal"), path, bom=True)
+    files = c.spark.read.format("binaryFile").load(path).agg(F.min((F.hex(F.substring("content", 1, 3)) == "EFBBBF") & ~F.contains(F.col("content"), F.lit(b"\r"))).cast("long").alias("marked"))
+    rows = readers.csv_text(c.spark, path).select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"))
+    return rows.crossJoin(F.broadcast(files))  # one row
 
 
 @query("snk03_resume", "select o_orderkey from orders where o_orderstatus <> 'F'")
@@ -107,10 +128,12 @@ def _(c):
     return sinks.bridge(nested, "item", "features", {"feature": "name", "strength": "weight"})
 
 
-@query("snk06_manifest", "select 5::bigint as rows_, sha256(string_agg(r_regionkey || ':' || r_name, ',' order by r_regionkey)) as digest from region")
+@query("snk06_manifest", "select n_nationkey, length(n_name || ' of region ' || n_regionkey) + 1 as length, sha256(n_name || ' of region ' || n_regionkey || chr(10)) as sha256 from nation")
 def _(c):
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("r_regionkey", "r_name"))), lambda x: F.concat_ws(":", x["r_regionkey"].cast("string"), x["r_name"]))
-    return c.table("region").agg(F.count("*").alias("rows_"), F.sha2(F.array_join(rows, ",").cast("binary"), 256).alias("digest"))
+    """A file for each nation, known by its folder."""
+    path = scratch.folder(c.spark, "snk06")
+    c.table("nation").select("n_nationkey", F.concat("n_name", F.lit(" of region "), "n_regionkey").alias("value")).write.partitionBy("n_nationkey").option("lineSep", "\n").text(path)
+    return sinks.manifest(c.spark, path).select(F.regexp_extract("path", "n_nationkey=([0-9]+)", 1).cast("int").alias("n_nationkey"), "length", "sha256")
 
 
 @query("snk07_rle", _RUNS.replace("select l_orderkey, run, min(l_returnflag) as flag, count(*) as n from g group by 1, 2", ", r as (select l_orderkey, run, min(l_returnflag) as flag, count(*) as n from g group by 1, 2) select l_orderkey, string_agg(flag || n, '' order by run) as rle from r group by 1"))
@@ -120,6 +143,9 @@ def _(c):
     return runs.groupBy("l_orderkey").agg(F.array_join(F.transform(ordered, lambda x: x["code"]), "").alias("rle"))
 
 
-@query("src05_ranked_capture", "select p_partkey, row_number() over (partition by p_brand order by p_retailprice desc, p_partkey) as source_rank from part")
+@query("src05_gzip_capture", "select p_partkey, row_number() over (partition by p_brand order by p_retailprice desc, p_partkey) as source_rank from part")
 def _(c):
-    return ranking.row_rank(c.table("part"), ["p_brand"], [F.desc("p_retailprice"), "p_partkey"], "source_rank").select("p_partkey", "source_rank")
+    path = scratch.folder(c.spark, "src05")
+    sinks.write_csv(c.table("part").select("p_partkey", "p_brand", "p_retailprice"), path, compression="gzip")
+    rows = readers.csv_text(c.spark, path).select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_brand", F.col("p_retailprice").cast("double").alias("p_retailprice"))
+    return ranking.row_rank(rows, ["p_brand"], [F.desc("p_retailprice"), "p_partkey"], "source_rank").select("p_partkey", "source_rank")

@@ -45,11 +45,11 @@ def har_entries(spark: SparkSession, path: str) -> DataFrame:
                     F.col("e.response.status").alias("status"), F.col("e.response.content.mimeType").alias("mime"), decoded.alias("body"))
 
 
-def route(entries: DataFrame, endpoints: dict[str, tuple[str, str]]) -> DataFrame:
-    """Names the entries that succeeded and fit an endpoint's (host, path prefix)."""
+def route(entries: DataFrame, endpoints: dict[str, tuple[str | None, str]]) -> DataFrame:
+    """Names the entries that succeeded and fit an endpoint's (host, path prefix); without a host any will do."""
     name = None
     for key, (host, prefix) in endpoints.items():
-        fits = (F.col("host") == host) & F.col("path").startswith(prefix) & (F.col("method") == "GET") & (F.col("status") == 200)
+        fits = (F.lit(True) if host is None else F.col("host") == host) & F.col("path").startswith(prefix) & (F.col("method") == "GET") & (F.col("status") == 200)
         name = F.when(fits, key) if name is None else name.when(fits, key)
     return entries.withColumn("endpoint", name).filter("endpoint is not null")
 

@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .readers import BOM
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header and line feeds."""
-    df.write.mode("overwrite").option("header", True).option("lineSep", "\n").option("escape", '"').csv(path)
+
+def write_csv(df: DataFrame, path: str, bom: bool = False, compression: str | None = None) -> None:
+    """CSV with a header and line feeds; with ``bom`` every file starts with a byte-order mark, as spreadsheets want it."""
+    df = df.withColumnRenamed(df.columns[0], BOM + df.columns[0]) if bom else df
+    df.write.mode("overwrite").option("header", True).option("lineSep", "\n").option("escape", '"').option("compression", compression or "none").csv(path)
 
 
 def write_document(df: DataFrame, path: str, order: str) -> None:
