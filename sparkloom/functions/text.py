@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import hangul
+
 
 def _mapped(f: Callable, kind: str = "string") -> Callable[[Column | str], Column]:
     """An Arrow-batched function of one text column; nulls stay null (a struct of a null is that of no text). The UDF is made when the function is used, since
@@ -50,41 +52,18 @@ def compact_key(text: Column | str) -> Column:
     return F.regexp_replace(F.lower(text), "[^0-9a-z가-힣]", "")
 
 
-# A Hangul syllable is 0xAC00 + (initial * 21 + medial) * 28 + final.
-#: Revised Romanisation of the initials, medials and finals, in the order of their code points.
-INITIALS = "g kk n d tt r m b pp s ss - j jj ch k t p h".replace("-", "").split(" ")
-MEDIALS = "a ae ya yae eo e yeo ye o wa wae oe yo u wo we wi yu eu ui i".split()
-FINALS = "- k k k n n n t l k m l l l p l m p p t t ng t t k t p t".replace("-", "").split(" ")
-
-
-def _parts(c: str) -> tuple[int, int, int] | None:
-    i = ord(c) - 0xAC00
-    return (i // 588, i % 588 // 28, i % 28) if 0 <= i < 11172 else None
-
-
-def romanised_text(t: str) -> str:
-    out = []
-    for c in unicodedata.normalize("NFC", t):
-        p = _parts(c)
-        out.append(c if p is None else INITIALS[p[0]] + MEDIALS[p[1]] + FINALS[p[2]])
-    return "".join(out)
-
-
 def jamo_text(t: str) -> str:
     """Syllables as their letters, each a code point of its own."""
     return unicodedata.normalize("NFD", unicodedata.normalize("NFC", t))
 
 
-romanised = _mapped(romanised_text)
+romanised = _mapped(hangul.romanised_text)
 jamo = _mapped(jamo_text)
 
 
 def phonetic_key(text: Column | str) -> Column:
-    """A rough sound key: romanised, like letters merged, vowels dropped, repeats squeezed."""
-    k = F.regexp_replace(F.lower(romanised(text)), "[^a-z]", "")
-    for a, b in (("ph", "p"), ("ch", "j"), ("ck", "k"), ("q", "k"), ("c", "k"), ("z", "s"), ("l", "r"), ("v", "b"), ("f", "p")):
-        k = F.replace(k, F.lit(a), F.lit(b))
-    return F.regexp_replace(F.regexp_replace(k, "[aeiouyw]", ""), r"(.)\1+", "$1")
+    """A rough sound key: romanised, like sounds merged, vowels dropped, repeats squeezed."""
+    return hangul.sound_key(romanised(text))
 
 
 def bounded_levenshtein(a: Column | str, b: Column | str, cap: int) -> Column:
@@ -172,9 +151,16 @@ def particle_bounded(word: str, particles: list[str]) -> str:
 
 
 def singulars(name: Column) -> Column:
-    """Candidate forms of a name: as it is, lower, without a plural s, with y for a last e, with a y."""
-    low = F.lower(F.trim(F.regexp_replace(name, r"\s+", " ")))
-    return F.array_distinct(F.array(name, low, F.regexp_replace(low, "s$", ""), F.regexp_replace(low, "e$", "y"), F.concat(low, F.lit("y"))))
+    """The forms under which a name is looked up, in order: as it is, lower, without any word's last s, and of that with y for
+    a last e, and with a y."""
+    low = F.trim(F.regexp_replace(F.lower(F.trim(name)), r"\s+", " "))
+    one = F.trim(F.regexp_replace(low, r"s\b", ""))
+    return F.array_distinct(F.array(name, low, one, F.concat(F.regexp_replace(one, "e$", ""), F.lit("y")), F.concat(one, F.lit("y"))))
+
+
+def slipped(text: Column | str, kind: str, seed: int = 0) -> Column:
+    """One slip of a kind of ``hangul.SLIPS`` in every text."""
+    return _mapped(lambda t: hangul.slip(t, kind, seed))(text)
 
 
 def typos(text: str, kind: str, seed: int = 0) -> Column:

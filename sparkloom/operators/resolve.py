@@ -19,11 +19,31 @@ def blocked_pairs(left: DataFrame, right: DataFrame, block: str) -> DataFrame:
     return left.join(right, block)
 
 
+CHANNELS = ("direct", "phonetic", "contains", "llm_direct", "llm_contains")
+
+
+def channels(pairs: DataFrame) -> DataFrame:
+    """Adds a similarity per channel. The name is romanised first; ``llm_name``, where there is one, is a Latin name that a
+    model has restored. An empty key is like nothing.
+
+    direct and llm_direct: the sequence ratio of the Latin keys; phonetic: that of the sound keys; contains and llm_contains:
+    the shorter length over the longer if one key holds the other.
+    """
+    named = pairs if "llm_name" in pairs.columns else pairs.withColumn("llm_name", F.lit(""))
+    keys = {"_q": tx.latin_key(tx.romanised("name")), "_c": tx.latin_key("catalogue_name"), "_l": tx.latin_key(F.coalesce("llm_name", F.lit(""))), "_qp": tx.phonetic_key("name"), "_cp": tx.phonetic_key("catalogue_name")}
+    keyed = named.withColumns(keys)
+
+    def alike(a: str, b: str) -> Column:
+        return F.when((F.col(a) != "") & (F.col(b) != ""), tx.ratio(a, b)).otherwise(0.0)
+
+    found = (alike("_q", "_c"), alike("_qp", "_cp"), tx.containment(F.col("_q"), F.col("_c")), alike("_l", "_c"), tx.containment(F.col("_l"), F.col("_c")))
+    return keyed.withColumns({n: F.round(x, 6) for n, x in zip(CHANNELS, found, strict=True)}).drop(*keys)
+
+
 def scored(pairs: DataFrame) -> DataFrame:
-    """Adds score: the better of the sequence ratio and containment of the names' compact keys."""
-    keyed = pairs.withColumn("_a", tx.compact_key("name")).withColumn("_b", tx.compact_key("catalogue_name"))
-    score = F.greatest(tx.ratio("_a", "_b"), tx.containment(F.col("_a"), F.col("_b")) * 0.95)
-    return keyed.withColumn("score", F.round(score, 6)).withColumn("exact", F.col("_a") == F.col("_b")).drop("_a", "_b")
+    """Adds the channels, score (the best of them) and exact (equal compact keys)."""
+    same = tx.compact_key("name") == tx.compact_key("catalogue_name")
+    return channels(pairs).withColumn("score", F.greatest(*CHANNELS)).withColumn("exact", same)
 
 
 def decide(pairs: DataFrame, strong: tuple = (0.90, 0.03), plausible: tuple = (0.84, 0.10), review: float = 0.68) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import hangul
 from ..functions import text as tx
 from ..operators import evaluate, ranking, recommend
 from ..operators.geometry import agglomerative_by_label, points
@@ -284,10 +285,24 @@ def _(c):
     return evaluate.micro_prf(rows, "gold", "said", ["one"]).select("tp", "fp", "fn", F.round("f1", 6).alias("f1"))
 
 
+#: Words that a rule reads a condition from, by condition group.
+CONDITIONS = {"season": ("봄", "여름", "가을", "겨울"), "daypart": ("낮", "저녁", "새벽"), "gender": ("남자", "여자")}
+
+
+def read_condition(text):
+    """The first condition word that the text holds, in the order of the lexicon."""
+    return F.coalesce(*[F.when(F.contains(text, F.lit(w)), w) for words in CONDITIONS.values() for w in words], F.lit("none"))
+
+
 @query("xtr38_typo_robustness")
 def _(c):
-    rows = c.table("part").select("p_type", "p_name", tx.typos("p_name", "swap").alias("typed"))
-    return rows.groupBy("p_type").agg(F.round(F.avg((F.levenshtein("p_name", "typed") <= 2).cast("double")), 6).alias("near"), F.count("*").alias("n"))
+    """By condition group and kind of slip: how often the rule still reads the condition that was meant."""
+    words = [(g, w) for g, ws in CONDITIONS.items() for w in ws]
+    picked = lambda i: F.element_at(F.array(*[F.lit(x[i]) for x in words]), (F.col("p_partkey") % len(words) + 1).cast("int"))
+    asked = c.table("part").select("p_partkey", picked(0).alias("grp"), picked(1).alias("meant"), F.concat(picked(1), F.lit("에 어울리는 향 "), "p_name").alias("said"))
+    tried = [asked.select("grp", "meant", F.lit(kind).alias("kind"), tx.slipped("said", kind).alias("typed")) for kind in hangul.SLIPS]
+    rows = tried[0].unionByName(tried[1]).unionByName(tried[2]).unionByName(tried[3]).withColumn("right", (read_condition(F.col("typed")) == F.col("meant")).cast("double"))
+    return rows.groupBy("grp", "kind").agg(F.count("*").alias("n"), F.round(F.avg("right"), 6).alias("accuracy"))
 
 
 @query("xtr39_answer_rate", twin("feat pop", REQUESTS_SQL + _CAND + " select count(distinct req.q) as asked, count(distinct cd.q) as answered from req left join cd on cd.q = req.q"))

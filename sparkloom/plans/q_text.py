@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import hangul
 from ..functions import text as tx
+from ..functions import titles as titles_of
 from ..operators import ranking
 from .catalogue import twin
 from .q_joins import _LIFT, lift
@@ -60,19 +62,37 @@ def _(c):
     return c.table("part").select("p_partkey", tx.compact_key(F.concat("p_brand", F.lit(" 향 "), "p_name")).alias("key"))
 
 
-@query("txt05_romanised", "select n_nationkey, 'hanguk ' || n_name as roman from nation")
+def _spelled(n: str) -> str:
+    """SQL for the Latin spelling of syllable number n."""
+    table = lambda names: "[" + ", ".join(f"'{x}'" for x in names) + "]"
+    return f"{table(hangul.INITIALS)}[{n} // 588 + 1] || {table(hangul.MEDIALS)}[{n} % 588 // 28 + 1] || {table(hangul.FINALS)}[{n} % 28 + 1]"
+
+
+def syllables(c):
+    """Two syllables per part, spread over all 11,172, before the part's name."""
+    two = F.concat(*[F.decode(F.unhex(F.lpad(F.hex(44032 + (F.col("p_partkey") * m) % 11172), 4, "0")), "UTF-16BE") for m in (1237, 7919)])
+    return c.table("part").select("p_partkey", "p_type", F.concat(two, F.lit(" "), "p_name").alias("said"))
+
+
+_SPELLED = f"with s as (select p_partkey, p_name, p_partkey * 1237 % 11172 as a, p_partkey * 7919 % 11172 as b from part), r as (select p_partkey, {_spelled('a')} || {_spelled('b')} || ' ' || trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) as roman from s)"
+_SOUND = "roman"
+for _a, _b in hangul.SOUNDS:
+    _SOUND = f"replace({_SOUND}, '{_a}', '{_b}')"
+
+
+@query("txt05_romanised", _SPELLED + " select p_partkey, roman from r")
 def _(c):
-    return c.table("nation").select("n_nationkey", tx.romanised(F.concat(F.lit("한국 "), "n_name")).alias("roman"))
+    return syllables(c).select("p_partkey", tx.romanised("said").alias("roman"))
 
 
-@query("txt06_phonetic_key", "select n_nationkey, case when n_nationkey % 2 = 0 then 'hngk' else 'prn' end as key from nation")
+@query("txt06_phonetic_key", _SPELLED + f", k as (select p_partkey, regexp_replace({_SOUND}, '[^a-z0-9]|[aeiou]', '', 'g') as k from r) select p_partkey, list_reduce(list_prepend('', string_split(k, '')), lambda x, y: case when right(x, 1) = y then x else x || y end) as key from k")
 def _(c):
-    return c.table("nation").select("n_nationkey", tx.phonetic_key(F.when(F.col("n_nationkey") % 2 == 0, "한국").otherwise("Felloon")).alias("key"))
+    return syllables(c).select("p_partkey", tx.phonetic_key("said").alias("key"))
 
 
-@query("txt07_jamo", "select n_nationkey, case when n_nationkey % 2 = 0 then 6 else 5 end as letters from nation")
+@query("txt07_jamo", "select p_partkey, sum(case when n % 28 = 0 then 2 else 3 end)::integer + 1 + length(any_value(p_name)) as letters from (select p_partkey, p_name, unnest([p_partkey * 1237 % 11172, p_partkey * 7919 % 11172]) as n from part) group by 1")
 def _(c):
-    return c.table("nation").select("n_nationkey", F.char_length(tx.jamo(F.when(F.col("n_nationkey") % 2 == 0, "한국").otherwise("빨래"))).alias("letters"))
+    return syllables(c).select("p_partkey", F.char_length(tx.jamo("said")).alias("letters"))
 
 
 _NAMES = "with v as (select distinct p_name as w from part)"
@@ -143,12 +163,25 @@ def _(c):
     return c.table("nation").select("n_nationkey", said.rlike(tx.particle_bounded("장미", ["를", "은", "이"])).alias("hit"))
 
 
-@query("txt18_name_ladder", "select p_partkey, split_part(p_name, ' ', 2) as found from part")
+_LADDER = """with w as (select distinct unnest(string_split(p_name, ' ')) as w from part), known as (select w as known from w union select w || 'y' from w union select p_name from part),
+a as (select p_partkey, case p_size % 6 when 0 then p_name when 1 then '  ' || upper(replace(p_name, ' ', '   ')) || ' ' when 2 then replace(p_name, ' ', 's ') || 's' when 3 then split_part(p_name, ' ', 1) || 'es'
+  when 4 then initcap_(split_part(p_name, ' ', 2)) else 'no such ' || p_name end as said from part),
+b as (select *, trim(regexp_replace(lower(trim(said)), '\\s+', ' ', 'g')) as low from a), c as (select *, trim(regexp_replace(low, 's\\b', '', 'g')) as one from b),
+f as (select p_partkey, unnest([said, low, one, regexp_replace(one, 'e$', '') || 'y', one || 'y']) as form, unnest([1, 2, 3, 4, 5]) as step from c)
+select p_partkey, arg_min(form, step) as found from f where form in (select known from known) group by 1"""
+
+
+@query("txt18_name_ladder", _LADDER.replace("initcap_(split_part(p_name, ' ', 2))", "upper(left(split_part(p_name, ' ', 2), 1)) || substr(split_part(p_name, ' ', 2), 2)"))
 def _(c):
-    known = c.table("part").select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("known")).distinct()
-    said = c.table("part").select("p_partkey", F.concat(F.initcap(F.split_part("p_name", F.lit(" "), F.lit(2))), F.lit("s")).alias("said"))
-    forms = said.select("p_partkey", F.posexplode(tx.singulars(F.col("said"))).alias("step", "known"))
-    return ranking.first_by(forms.join(F.broadcast(known), "known"), ["p_partkey"], ["step"]).select("p_partkey", F.col("known").alias("found"))
+    word = c.table("part").select(F.explode(F.split("p_name", " ")).alias("known"))
+    known = word.unionByName(word.select(F.concat("known", F.lit("y")).alias("known"))).unionByName(c.table("part").select(F.col("p_name").alias("known"))).distinct()
+    first, second = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
+    kinds = (F.col("p_name"), F.concat(F.lit("  "), F.upper(F.replace("p_name", F.lit(" "), F.lit("   "))), F.lit(" ")), F.concat(F.replace("p_name", F.lit(" "), F.lit("s ")), F.lit("s")), F.concat(first, F.lit("es")), F.initcap(second))
+    said = F.concat(F.lit("no such "), "p_name")
+    for i, kind in enumerate(kinds):
+        said = F.when(F.col("p_size") % 6 == i, kind).otherwise(said)
+    forms = c.table("part").select("p_partkey", F.posexplode(tx.singulars(said)).alias("step", "known"))
+    return ranking.first_by(forms.join(known, "known"), ["p_partkey"], ["step"]).select("p_partkey", F.col("known").alias("found"))
 
 
 @query("txt19_negation_scope", "select p_partkey, case when p_size % 2 = 0 then split_part(p_name, ' ', 1) else '' end as negated from part where split_part(p_name, ' ', 1) in ('red', 'blue', 'hot')")
@@ -269,9 +302,42 @@ def _(c):
     return idf(canon).select("token", "df", F.round("idf", 6).alias("idf"))
 
 
-@query("txt36_typos", "select p_partkey, length(p_name) - 1 as letters from part")
+@query("txt36_typos")
 def _(c):
-    return c.table("part").select("p_partkey", F.char_length(tx.typos("p_name", "lost")).alias("letters"))
+    """Every kind of slip, one row per part and kind."""
+    rows = syllables(c)
+    made = [rows.select("p_partkey", F.lit(kind).alias("kind"), "said", tx.slipped("said", kind).alias("typed")) for kind in hangul.SLIPS]
+    return made[0].unionByName(made[1]).unionByName(made[2]).unionByName(made[3])
+
+
+#: Words of promotion, size, form and strength around a part's name, as shops write them.
+_SHOP = ("{n} EDP 50ml (+ 바디로션 증정)", "[단독기획] {n} 오 드 뚜왈렛 30/50ml 세트", "{b} {n} 헤어 미스트 100ml", "{n} Extrait de Parfum 7.5 ml 2종", "고체 {n} 퍼퓸 밤", "{b}: {n} 롤온 eau de cologne 10g", "[{n}] EDP 리필 택1", "{n} discovery set 3개 PICK")
+
+
+def shop_titles(c):
+    """Part names as shop titles of eight kinds."""
+    kinds = [F.replace(F.replace(F.lit(t), F.lit("{n}"), F.col("p_name")), F.lit("{b}"), F.col("p_brand")) for t in _SHOP]
+    return c.table("part").select("p_partkey", "p_name", "p_brand", F.element_at(F.array(*kinds), (F.col("p_size") % 8 + 1).cast("int")).alias("title"))
+
+
+@query("txt27_mentions")
+def _(c):
+    found = {flag: F.size(x).cast("int").alias(flag) for flag, x in titles_of.mentions(F.col("title")).items()}
+    return shop_titles(c).select("p_partkey", "title", *found.values())
+
+
+_IDENTITY = """select p_partkey, p_name || case p_size % 8 when 1 then ' 30' when 6 then ' 리필' when 7 then ' discovery set' else '' end as core_name,
+  case p_size % 8 when 0 then 'EDP' when 1 then 'EDT' when 3 then 'EXTRAIT' when 5 then 'EDC' when 6 then 'EDP' else '' end as concentrations,
+  case p_size % 8 when 2 then 'HAIR_FRAGRANCE' when 4 then 'SOLID_FRAGRANCE' when 5 then 'ROLL_ON' else 'LIQUID_PERFUME' end as product_form,
+  case p_size % 8 when 2 then p_brand || ' ' when 5 then p_brand || ': ' else '' end as brand_prefix,
+  case p_size % 8 when 0 then '(+ 바디로션 증정)|50ml' when 1 then '[단독기획]|50ml|세트' when 2 then '100ml' when 3 then '7.5 ml|2종' when 4 then '' when 5 then '10g' when 6 then '택1' else '3개|PICK' end as noise from part"""
+
+
+@query("txt32_identity", _IDENTITY)
+def _(c):
+    rows = titles_of.identity(shop_titles(c), "title", "p_brand")
+    return rows.select("p_partkey", "identity.core_name", F.array_join("identity.concentrations", "|").alias("concentrations"), "identity.product_form", "identity.brand_prefix", F.array_join("identity.noise", "|").alias("noise"))
+
 
 
 @query("txt38_leakage_checks", "select doc_id, length(text) > 100 as too_long, contains(text, '@') as has_mail, n > 1 as duplicate from (select *, count(*) over (partition by text) as n from documents)")
