@@ -19,7 +19,7 @@ def subset_lift(feat: DataFrame, subsets: DataFrame, least_items: int, least_sup
     both = subsets.join(feat.select("item", "feature"), "item").groupBy("subset", "feature").agg(F.count("*").alias("k")).filter(F.col("k") >= least_support)
     p = F.col("k") / F.col("m")
     low = F.greatest(p - 1.96 * F.sqrt(p * (1 - p) / F.col("m")), F.lit(0.0)) / F.col("p0")
-    return both.join(F.broadcast(sizes), "subset").join(base, "feature").select("subset", "feature", "k", p.alias("p"), (p / F.col("p0")).alias("lift"), low.alias("low"))
+    return both.join(sizes, "subset").join(base, "feature").select("subset", "feature", "k", p.alias("p"), (p / F.col("p0")).alias("lift"), low.alias("low"))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:

@@ -81,10 +81,10 @@ def silhouette(dist: DataFrame, labels: DataFrame) -> DataFrame:
 def merge_small(dist: DataFrame, labels: DataFrame, least: int) -> DataFrame:
     """Clusters below ``least`` points give every point to the large cluster of least mean distance, all at once."""
     large = labels.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("label")
-    stay = labels.join(F.broadcast(large), "label", "left_semi")
-    move = labels.join(F.broadcast(large), "label", "left_anti").select(F.col("id").alias("a"))
+    stay = labels.join(large, "label", "left_semi")
+    move = labels.join(large, "label", "left_anti").select(F.col("id").alias("a"))
     to = stay.select(F.col("id").alias("b"), F.col("label").alias("target"))
-    near = dist.join(F.broadcast(move), "a").join(F.broadcast(to), "b").groupBy("a", "target").agg(F.round(F.avg("d"), 10).alias("m"))
+    near = dist.join(move, "a").join(to, "b").groupBy("a", "target").agg(F.round(F.avg("d"), 10).alias("m"))
     moved = first_by(near, ["a"], ["m", "target"]).select(F.col("a").alias("id"), F.col("target").alias("label"))
     return stay.select("id", "label").unionByName(moved)
 

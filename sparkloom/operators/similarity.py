@@ -42,7 +42,7 @@ def idf(tok: DataFrame, items: DataFrame | None = None) -> DataFrame:
 
 def weighted_jaccard(tok: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """(a, b, jac): weight of the common tokens over weight of all; without weights, the plain set Jaccard."""
-    rows = tok.withColumn("w", F.lit(1.0)) if weights is None else tok.join(F.broadcast(weights.select("token", F.col(weights.columns[-1]).alias("w"))), "token")
+    rows = tok.withColumn("w", F.lit(1.0)) if weights is None else tok.join(weights.select("token", F.col(weights.columns[-1]).alias("w")), "token")
     rows = rows.select("item", F.col("token").alias("feature"), "w")
     size = rows.groupBy("item").agg(F.sum("w").alias("s"))
     both = _self_join(rows, ["w"]).groupBy("a", "b").agg(F.sum("a_w").alias("i"))

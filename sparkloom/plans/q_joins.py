@@ -25,7 +25,7 @@ def lift(c):
     n = c.feat.agg(F.count_distinct("item").cast("double").alias("n"))
     s, t = c.feat.groupBy("feature").agg(F.count("*").alias("sc")), c.tok.groupBy("token").agg(F.count("*").alias("tc"))
     n_both = c.tok.join(c.feat, "item").groupBy("token", "feature").agg(F.count("*").alias("n_both"))
-    return n_both.join(F.broadcast(t), "token").join(F.broadcast(s), "feature").crossJoin(F.broadcast(n)).select(
+    return n_both.join(t, "token").join(s, "feature").crossJoin(F.broadcast(n)).select(
         "token", "feature", "n_both", F.round(F.col("n_both") / F.col("tc"), 6).alias("p"), F.round(F.col("n_both") * F.col("n") / (F.col("tc") * F.col("sc")), 6).alias("lift"))
 
 

@@ -65,7 +65,7 @@ def _(c):
 def _(c):
     names = c.feat.agg(F.array_sort(F.collect_set("feature")).alias("names"))  # brands by types: a vocabulary of fixed size
     index = names.select(F.posexplode("names").alias("col", "feature"))
-    return c.feat.join(F.broadcast(index), "feature").select("item", F.col("col").cast("long").alias("col"), "strength")
+    return c.feat.join(index, "feature").select("item", F.col("col").cast("long").alias("col"), "strength")
 
 
 @query("prs10_merged_tiers", "with w as (select p_brand, p_partkey, unnest(string_split(p_name, ' ')) as note, unnest(['top', 'base']) as tier, unnest([1, 2]) as pos from part) select p_brand, note, min(p_partkey * 10 + pos) as first_pos, array_to_string(list_sort(list(distinct tier)), '+') as tiers from w group by 1, 2")

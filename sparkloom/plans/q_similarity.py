@@ -271,5 +271,5 @@ def _(c):
     from ..operators.geometry import distances, points
 
     d = distances(points(c))
-    own = F.broadcast(d.filter(F.col("b") == F.col("a") + 1).select("a", F.col("d").alias("own")))
+    own = d.filter(F.col("b") == F.col("a") + 1).select("a", F.col("d").alias("own"))
     return d.join(own, "a").groupBy("a").agg(F.round(F.count_if(F.col("d") < F.col("own")) / F.count("*"), 6).alias("pct"))

@@ -219,7 +219,7 @@ def _(c):
 @query("txt24_bridge_expansion", twin("feat tok", _LIFT + ", bg as (select token, feature from l where p >= 0.2 and lift >= 1.1) select distinct p_partkey, feature from part join bg on bg.token = lower(p_name)"))
 def _(c):
     bridge = lift(c).filter("p >= 0.2 and lift >= 1.1").select("token", "feature")
-    return c.table("part").join(F.broadcast(bridge), F.lower("p_name") == F.col("token")).select("p_partkey", "feature").distinct()
+    return c.table("part").join(bridge, F.lower("p_name") == F.col("token")).select("p_partkey", "feature").distinct()
 
 
 @query("txt25_unmatched_reasons", "with z as (select 1)" + _HITS + ", c as (select p_partkey, bool_or(contains(p_name, surface)) as any_ from part, sf group by 1) select c.p_partkey, case when not any_ then 'NOT_IN_LEXICON' when h.p_partkey is null then 'CONDITION_NOT_MET' when not core then 'NOT_CORE' end as reason from c left join (select p_partkey, bool_or(feature = 'warm') as core from ht group by 1) h on h.p_partkey = c.p_partkey where not any_ or h.p_partkey is null or not core")
@@ -287,9 +287,9 @@ def _(c):
     known = c.table("part").select(F.col("p_name").alias("k")).distinct()
     said = F.when(F.col("p_size") % 3 == 0, F.col("p_name")).when(F.col("p_size") % 3 == 1, F.replace(F.upper("p_name"), F.lit(" "), F.lit("-"))).otherwise("?")
     rows = c.table("part").select("p_partkey", said.alias("said"))
-    exact = F.broadcast(known.select(F.col("k").alias("said"), F.lit(True).alias("exact")))
+    exact = known.select(F.col("k").alias("said"), F.lit(True).alias("exact"))
     norm = lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]", "")
-    loose = F.broadcast(known.select(norm("k").alias("n"), F.lit(True).alias("loose")).distinct())
+    loose = known.select(norm("k").alias("n"), F.lit(True).alias("loose")).distinct()
     rows = rows.join(exact, "said", "left").withColumn("n", norm("said")).join(loose, "n", "left")
     return rows.select("p_partkey", F.when(F.col("exact"), "exact").when(F.col("loose"), "normalised").otherwise("none").alias("basis"))
 
@@ -375,7 +375,7 @@ def _(c):
 @query("txt42_alias_review", _NAMES + ", x as (select distinct split_part(w, ' ', 2) as a from v) select a, w as entry from x join v on contains(w, a) and w <> a")
 def _(c):
     v = c.table("part").select(F.col("p_name").alias("entry")).distinct()
-    a = F.broadcast(v.select(F.split_part("entry", F.lit(" "), F.lit(2)).alias("a")).distinct())
+    a = v.select(F.split_part("entry", F.lit(" "), F.lit(2)).alias("a")).distinct()
     return v.join(a, F.col("entry").contains(F.col("a")) & (F.col("entry") != F.col("a"))).select("a", "entry")
 
 
