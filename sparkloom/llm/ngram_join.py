@@ -241,12 +241,14 @@ class Join:
     def shared(self) -> DataFrame:
         """Prefix keys that several nodes have, one row per node and key, with the key's number of nodes. Each task sent a
         set's prefix once, so a node has few rows of a key that are alike."""
-        spread = self.prefixes.filter(F.col("prefix").isNotNull()).select("sig", "n", F.posexplode("prefix").alias("pos", "key"))
-        mark = F.xxhash64("sig")  # two sets under one mark would be taken for one, with a chance of 2^-64 for a key of two sets
-        several = spread.groupBy("key").agg(F.min(mark).alias("least"), F.max(mark).alias("most"), F.count("*").alias("rows")).filter("least <> most").select("key", "rows")
+        # Sets go by 64-bit marks here. Two sets under one mark give candidates too many, except that a key of just these two
+        # would be taken for one set's: a chance of 2^-64 for such a key.
+        spread = self.prefixes.filter(F.col("prefix").isNotNull()).select(F.xxhash64("sig").alias("mark"), "n", F.posexplode("prefix").alias("pos", "key"))
+        several = spread.groupBy("key").agg(F.min("mark").alias("least"), F.max("mark").alias("most"), F.count("*").alias("rows")).filter("least <> most").select("key", "rows")
         several = self.work.cut(several, "several")
-        side = F.broadcast(several) if fits(several, self.broadcast_rows) else several
-        shared = spread.join(side, "key").join(self.nodes.select("sig", "node"), "sig").select("key", "node", "n", "pos", "rows")
+        side = F.broadcast(several) if fits(several, self.broadcast_rows // 4) else several
+        marked = self.nodes.select(F.xxhash64("sig").alias("mark"), "node", "n")
+        shared = spread.join(side, "key").join(marked, ["mark", "n"]).select("key", "node", "n", "pos", "rows")
         shared = self.work.cut(shared.distinct(), "shared")
         self.work.drop("prefixes", "several")
         return shared
