@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from .workspace import give_back, small_batches
 
 #: Row-steps one recursive query may keep; a longer word takes several queries, each from where the last one stopped.
-_ROW_STEPS = 4_000_000
+_ROW_STEPS = 1_000_000
 #: Words in each of the two generations of a worker's cache.
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 150_000
 
 # ``place`` is the word's number and the position in it; ``todo`` counts the steps that are left, and -1 marks a word at its
 # fixpoint, whose rows leave the recursion.
@@ -110,7 +110,7 @@ class Bpe:
         if self.db is None:
             self.db = duckdb.connect()
             self.db.execute("set threads = 1")
-            self.db.execute("set memory_limit = '300MB'")
+            self.db.execute("set memory_limit = '200MB'")
             self.db.execute("set temp_directory = ''")
             self.db.register("own_merges", self.merges)
             self.db.register("own_vocab", self.vocab)
@@ -123,10 +123,10 @@ class Bpe:
         db = self._open()
         pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         db.register("start", pa.table({"place": pa.array(np.repeat(words << 32, sizes) | pos), "token": pa.array(tokens)}))
-        # Ordinary words end long before; only very long ones need another query, and, from some 200,000 tokens on, more memory.
+        # Ordinary words end long before; only very long ones need another query, and, from some 60,000 tokens on, more memory.
         sql, least = (_CONTRACT_ALL, 2) if sizes.min() >= _LONG else (_CONTRACT, 64)
         if least == 2 and len(tokens) > _ROW_STEPS // 16:
-            db.execute(f"set memory_limit = '{300 + len(tokens) // 1000}MB'")
+            db.execute(f"set memory_limit = '{200 + len(tokens) // 800}MB'")
         found = db.sql(sql, params={"most": max(least, _ROW_STEPS // len(tokens))}).to_arrow_table()
         db.unregister("start")
         left = []
@@ -234,7 +234,7 @@ def worker(ranks: dict[bytes, int], pattern: str, name: tuple) -> Bpe:
     return _workers[name]
 
 
-def _pieces(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def _pieces(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``most`` characters."""
     begin, size = 0, 0
     for i, t in enumerate(texts):
@@ -256,7 +256,7 @@ def tokenize(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_
     an empty result. Other columns are left behind, whatever their names.
     """
     spark = docs.sparkSession
-    small_batches(spark, 2000)
+    small_batches(spark)
     ranks = _ranks_of(spark, vocabulary)
     name = (vocabulary, pattern)
     schema = pa.schema([("_id", pa.string()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("round_trip", pa.bool_())] + ([("token_ids", pa.list_(pa.int32()))] if with_ids else []))
