@@ -121,6 +121,23 @@ def _(c):
     return ranking.top_n(met, ["left_id"], [F.desc("score"), "right_id"], 3)
 
 
+@query("jon12_blocked_bands", """with l as (select p_partkey as left_id, p_brand, p_retailprice as price from part where p_size <= 25), r as (select p_partkey as right_id, p_brand, p_retailprice as other from part where p_size > 25),
+x as (select left_id, right_id, round(100 - abs(price - other), 4) as score from l join r using (p_brand) where abs(price - other) <= 5)
+select left_id, right_id, score, rank from (select *, row_number() over (partition by left_id order by score desc, right_id) as rank from x) where rank <= 3""")
+def _(c):
+    """Both sides together are the whole table. Candidates depend on brand and price alone, so equal prices meet once: of
+    the right side's the three smallest ids, and the left side's rows come back at the end."""
+    part, price = c.table("part"), F.col("p_retailprice").alias("price")
+    left = part.filter("p_size <= 25").select(F.col("p_partkey").alias("left_id"), "p_brand", price)
+    right = part.filter("p_size > 25").select(F.col("p_partkey").alias("right_id"), "p_brand", price)
+    right = ranking.top_n(right, ["p_brand", "price"], ["right_id"], 3).select("right_id", "p_brand", F.col("price").alias("other"), F.floor(F.col("price") / 5).alias("band"))
+    asked = left.select("p_brand", "price").distinct().withColumn("band", F.explode(F.sequence(F.floor(F.col("price") / 5) - 1, F.floor(F.col("price") / 5) + 1)))
+    met = asked.join(right, ["p_brand", "band"]).filter(F.abs(F.col("price") - F.col("other")) <= 5)
+    met = met.select("p_brand", "price", "right_id", F.round(100 - F.abs(F.col("price") - F.col("other")), 4).alias("score"))
+    best = ranking.top_n(met, ["p_brand", "price"], [F.desc("score"), "right_id"], 3)
+    return left.join(best, ["p_brand", "price"]).select("left_id", "right_id", "score", "rank")
+
+
 @query("jon13_fallback_resolution", """select n_nationkey, coalesce(a.v, b.v, 'none') as resolved, case when a.v is not null then 'alias' when b.v is not null then 'region' else 'unresolved' end as basis
 from nation left join (values ('NATION_3', 'three'), ('NATION_7', 'seven')) a(k, v) on a.k = n_name left join (select r_regionkey, lower(r_name) as v from region where r_name like 'A%') b on b.r_regionkey = n_regionkey""")
 def _(c):

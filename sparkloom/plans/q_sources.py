@@ -89,6 +89,20 @@ def _(c):
     return readers.markdown_rows(heads.unionByName(rows)).select("heading", F.col("cells")[0].cast("long").alias("p_partkey"), F.col("cells")[1].alias("p_name"))
 
 
+@query("src12_markdown_documents", "select p_brand as heading, p_partkey, p_name from part")
+def _(c):
+    """All parts, in documents of at most a thousand: below each brand's heading and a table's rule, a row for each of its parts."""
+    p = c.table("part").select(F.floor(F.col("p_partkey") / 1000).alias("doc"), "p_brand", "p_partkey", "p_name")
+
+    def line(df, at, text):
+        return df.select("doc", F.struct("p_brand", at.alias("at")).alias("line"), text.alias("text"))
+
+    rows = line(p, F.col("p_partkey").cast("long"), F.concat(F.lit("| "), "p_partkey", F.lit(" | "), "p_name", F.lit(" |")))
+    heads = p.select("doc", "p_brand").distinct()
+    above = line(heads, F.lit(-2).cast("long"), F.concat(F.lit("## "), "p_brand")).unionByName(line(heads, F.lit(-1).cast("long"), F.lit("|---|:--|")))
+    return readers.markdown_rows(above.unionByName(rows)).select("heading", F.col("cells")[0].cast("long").alias("p_partkey"), F.col("cells")[1].alias("p_name"))
+
+
 @query("src14_embeddings", "select vec_id, len(embedding) as dims, round(embedding[1]::double, 5) as first from embeddings")
 def _(c):
     return c.table("embeddings").select("vec_id", F.size("embedding").alias("dims"), F.round(F.col("embedding")[0].cast("double"), 5).alias("first"))

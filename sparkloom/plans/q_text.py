@@ -203,6 +203,13 @@ def _(c):
     return c.table("part").filter("p_size < 10").select("p_partkey", tx.after_cue(said, "not ")[0].alias("avoided"))
 
 
+@query("txt21_avoid_several", "select p_partkey, case when p_size % 3 = 0 then '' else p_name || '+' || lower(p_type) end as avoided from part")
+def _(c):
+    """All parts; a third of the wishes avoid nothing, the others two things."""
+    wish = F.concat(F.lit("gladly "), "p_name", F.when(F.col("p_size") % 3 == 0, "; no more").otherwise(F.concat(F.lit(" but not "), F.upper("p_name"), F.lit(", and not "), "p_type", F.lit("! thanks"))))
+    return c.table("part").select("p_partkey", F.array_join(tx.after_cue(wish, "not "), "+").alias("avoided"))
+
+
 _SIDES = "with r as (select p_partkey, string_split(p_name, ' ') as likes, [split_part(p_name, ' ', case when p_size % 2 = 0 then 1 else 2 end)] as avoids, [lower(p_type)] as more from part)"
 
 
