@@ -183,12 +183,12 @@ def _(c):
     return labelled(c).groupBy("p_brand").agg(share(F.array_sort("gold") == F.array_sort("said"), "exact"), share(F.col("gold")[0] == F.col("said")[0], "first"))
 
 
-_ANN = "with an as (select p_name as q, p_brand as annotator, list_sort(list(distinct p_type)) as labels from part where p_size <= 25 group by 1, 2)"
+_ANN = "with an as (select p_name as q, p_brand as annotator, list_sort(list(distinct p_type)) as labels from part group by 1, 2)"
 
 
-@query("evl19_agreement", _ANN + " select a.q, count(*) as pairs, round(avg(len(list_intersect(a.labels, b.labels)) / len(list_distinct(list_concat(a.labels, b.labels)))), 6) as agreement, round(avg(len(list_intersect(a.labels, b.labels)) / len(list_distinct(list_concat(a.labels, b.labels)))), 6) >= 0.3 as enough from an a join an b on a.q = b.q and a.annotator < b.annotator group by 1")
+@query("evl19_agreement_of_all", _ANN + " select a.q, count(*) as pairs, round(avg(len(list_intersect(a.labels, b.labels)) / len(list_distinct(list_concat(a.labels, b.labels)))), 6) as agreement, round(avg(len(list_intersect(a.labels, b.labels)) / len(list_distinct(list_concat(a.labels, b.labels)))), 6) >= 0.3 as enough from an a join an b on a.q = b.q and a.annotator < b.annotator group by 1")
 def _(c):
-    an = c.table("part").filter("p_size <= 25").groupBy(F.col("p_name").alias("q"), F.col("p_brand").alias("annotator")).agg(F.collect_set("p_type").alias("labels"))
+    an = c.table("part").groupBy(F.col("p_name").alias("q"), F.col("p_brand").alias("annotator")).agg(F.collect_set("p_type").alias("labels"))
     other = an.select("q", F.col("annotator").alias("b"), F.col("labels").alias("lb"))
     union = F.size(F.array_union("labels", "lb"))
     j = F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect("labels", "lb")) / union)

@@ -79,9 +79,10 @@ def _(c):
     return ranking.top_n(s, ["q"], [F.desc("score"), "item"], 5).select("q", "item", "rank")
 
 
-@query("xtr08_rule_audit", "with r as (select p_name as entry, p_type as cond, count(distinct p_brand) as core from part where p_size < 15 group by 1, 2) select entry, cond, core from r where core < 2 and cond <> 'PROMO'")
+@query("xtr08_rules_of_all", "with r as (select p_name || '/' || p_size as entry, p_type as cond, count(distinct p_brand) as core from part group by 1, 2) select entry, cond, core from r where core < 2 and cond <> 'PROMO'")
 def _(c):
-    r = c.table("part").filter("p_size < 15").groupBy(F.col("p_name").alias("entry"), F.col("p_type").alias("cond")).agg(F.count_distinct("p_brand").alias("core"))
+    entry = F.concat_ws("/", "p_name", "p_size").alias("entry")
+    r = c.table("part").groupBy(entry, F.col("p_type").alias("cond")).agg(F.count_distinct("p_brand").alias("core"))
     return r.filter("core < 2 and cond <> 'PROMO'")
 
 

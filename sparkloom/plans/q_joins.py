@@ -110,17 +110,6 @@ def _(c):
     return c.table("documents").select("doc_id", F.explode(held).alias("form"))
 
 
-@query("jon12_blocked_candidates", """with k as (select p_partkey, p_brand, p_name, p_size from part where p_size = 1), x as (
-select k.p_partkey as left_id, p.p_partkey as right_id, 100 - abs(k.p_retailprice_ - p.p_retailprice) as score from (select p_partkey, p_brand, p_name, p_retailprice as p_retailprice_ from part where p_size = 1) k join part p on p.p_brand = k.p_brand and p.p_partkey <> k.p_partkey where p.p_size between 2 and 10)
-select left_id, right_id, round(score, 4) as score, rank from (select *, row_number() over (partition by left_id order by round(score, 4) desc, right_id) as rank from x) where rank <= 3""")
-def _(c):
-    part = c.table("part")
-    left = part.filter("p_size = 1").select(F.col("p_partkey").alias("left_id"), "p_brand", F.col("p_retailprice").alias("price"))
-    right = part.filter("p_size between 2 and 10").select(F.col("p_partkey").alias("right_id"), "p_brand", "p_retailprice")
-    met = left.join(right, "p_brand").filter("left_id <> right_id").select("left_id", "right_id", F.round(100 - F.abs(F.col("price") - F.col("p_retailprice")), 4).alias("score"))
-    return ranking.top_n(met, ["left_id"], [F.desc("score"), "right_id"], 3)
-
-
 @query("jon12_blocked_bands", """with l as (select p_partkey as left_id, p_brand, p_retailprice as price from part where p_size <= 25), r as (select p_partkey as right_id, p_brand, p_retailprice as other from part where p_size > 25),
 x as (select left_id, right_id, round(100 - abs(price - other), 4) as score from l join r using (p_brand) where abs(price - other) <= 5)
 select left_id, right_id, score, rank from (select *, row_number() over (partition by left_id order by score desc, right_id) as rank from x) where rank <= 3""")

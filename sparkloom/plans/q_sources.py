@@ -81,14 +81,6 @@ def _(c):
     return readers.page_contract(pages).select("page", "rank")
 
 
-@query("src12_markdown", "select p_brand as heading, p_partkey, p_name from part where p_size = 3")
-def _(c):
-    p = c.table("part").filter("p_size = 3")
-    heads = p.select(F.col("p_brand").alias("doc"), F.lit(-1).cast("long").alias("line"), F.concat(F.lit("## "), "p_brand").alias("text")).distinct()
-    rows = p.select(F.col("p_brand").alias("doc"), F.col("p_partkey").alias("line"), F.concat(F.lit("| "), "p_partkey", F.lit(" | "), "p_name", F.lit(" |")).alias("text"))
-    return readers.markdown_rows(heads.unionByName(rows)).select("heading", F.col("cells")[0].cast("long").alias("p_partkey"), F.col("cells")[1].alias("p_name"))
-
-
 @query("src12_markdown_documents", "select p_brand as heading, p_partkey, p_name from part")
 def _(c):
     """All parts, in documents of at most a thousand: below each brand's heading and a table's rule, a row for each of its parts."""

@@ -197,12 +197,6 @@ def _(c):
     return c.table("part").select("p_partkey", tx.last_rule(said, [("strong", "HIGH"), ("soft", "LOW")], "MEDIUM").alias("intensity"))
 
 
-@query("txt21_avoid_capture", "select p_partkey, p_name as avoided from part where p_size < 10")
-def _(c):
-    said = F.concat(F.lit("anything but not "), F.upper("p_name"), F.lit(", thanks"))
-    return c.table("part").filter("p_size < 10").select("p_partkey", tx.after_cue(said, "not ")[0].alias("avoided"))
-
-
 @query("txt21_avoid_several", "select p_partkey, case when p_size % 3 = 0 then '' else p_name || '+' || lower(p_type) end as avoided from part")
 def _(c):
     """All parts; a third of the wishes avoid nothing, the others two things."""
