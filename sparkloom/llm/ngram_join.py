@@ -7,8 +7,11 @@
 3. The order is cut at fixed pivots. A set's keys between two pivots are its segment of that fragment, a row of its own.
    Each fragment counts the overlaps of its candidate pairs apart, one row per pair and fragment, and these partial
    counts are summed per pair.
+   Prefix keys meet once, packed: each task sends its sorted keys as differences to owners of ranges of the hash space, which
+   return the keys of several sets. Sets of a key that their sizes and places keep apart from all others end there.
 4. Nodes that share a prefix key are first paired along chains. Only nodes that are then still in different components
    are paired in full, so a group of g near copies costs about g pairs, and every link between components is tested.
+   A key of two nodes has one pair only, which the first chain makes.
 5. A key that many nodes share is cut up: chains run within blocks of its nodes (other blocks in another turn), and the
    pairs across components are made by blocks of both sides.
 """
@@ -34,6 +37,8 @@ WORDS, PERCENT = 5, 80
 CELL_BITS = 22
 #: Nodes of one key in one block of a chain, and pairs of nodes of one key that one block tests.
 CHAIN_NODES, BLOCK_PAIRS = 5_000, 4_000_000
+#: Prefix keys that a task packs at once, and about how many an owner holds of one range of the hash space.
+CHUNK_KEYS, RANGE_KEYS = 500_000, 200_000
 #: The top bits of a key hold the frequency class.
 _CLASS_BITS = 8
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -178,6 +183,105 @@ def _prefixes(classes) -> object:
     return run
 
 
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of numbers byte by byte, so that the bytes that are alike stand together."""
+    return zstandard.compress(b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns), 1)
+
+
+def _unpack(blob: bytes, size: int, *types: str) -> list[np.ndarray]:
+    raw, out, at = np.frombuffer(zstandard.decompress(blob), np.uint8), [], 0
+    for t in map(np.dtype, types):
+        out.append(np.ascontiguousarray(raw[at : at + size * t.itemsize].reshape(t.itemsize, size).T).view(t).ravel())
+        at += size * t.itemsize
+    return out
+
+
+_PACKED = ("<u8", "<i8", "<u4", "<u4")  # differences of the keys, the sets' marks and sizes, the keys' places
+
+
+def _packs(bits: int) -> object:
+    """(mark, n, prefix) rows to packed keys, one row per chunk and range of the hash space. A key goes without its class,
+    which follows from its hash."""
+
+    def packed(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        key, mark, n, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(key)
+        key, mark, n, pos = key[order], mark[order], n[order], pos[order]
+        place = (key >> np.uint64(64 - _CLASS_BITS - bits)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(place, prepend=-1, append=-1))
+        sizes = np.diff(cuts)
+        blobs = [_pack(np.diff(key[a:b], prepend=np.uint64(0)), mark[a:b], n[a:b], pos[a:b]) for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
+        for a in range(0, len(blobs), 1000):
+            yield pa.RecordBatch.from_arrays([pa.array(place[cuts[:-1]][a : a + 1000].astype(np.int32)), pa.array(sizes[a : a + 1000]), pa.array(blobs[a : a + 1000], pa.binary())], names=["range", "size", "blob"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            sizes = batch.column(2).value_lengths().to_numpy().astype(np.int64)
+            key = batch.column(2).flatten().to_numpy().view(np.uint64) & np.uint64((1 << (64 - _CLASS_BITS)) - 1)
+            pos = np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            parts.append((key, np.repeat(batch.column(0).to_numpy(), sizes), np.repeat(batch.column(1).to_numpy(), sizes).astype("<u4"), pos.astype("<u4")))
+            held += len(key)
+            if held >= CHUNK_KEYS:
+                yield from packed(parts)
+                parts, held = [], 0
+        if held:
+            yield from packed(parts)
+        give_back()
+
+    return run
+
+
+#: Keys of at most so many sets are rid of those sets that no other set of the key can reach.
+_FEW_SETS = 16
+
+
+def _reaching(n: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """``_may_reach`` for rows of sets with a common key: whether a set reaches another of its row."""
+    a, b, i, j = n[:, :, None], n[:, None, :], pos[:, :, None], pos[:, None, :]
+    reach = (np.minimum(a, b) * 100 >= np.maximum(a, b) * PERCENT) & (np.minimum(a - i, b - j) * (100 + PERCENT) >= (a + b) * PERCENT)
+    return (reach & ~np.eye(n.shape[1], dtype=bool)).any(axis=2)
+
+
+def _several(key: np.ndarray, mark: np.ndarray, n: np.ndarray, pos: np.ndarray) -> list[np.ndarray]:
+    """Keys of several sets, one row per key and set, with the key's number of sets."""
+    order = np.lexsort((mark, key))
+    key, mark, n, pos = key[order], mark[order], n[order].astype(np.int64), pos[order].astype(np.int64)
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])  # copies that unlike tasks sent
+    key, mark, n, pos = key[new], mark[new], n[new], pos[new]
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    sets = np.diff(begin, append=len(key))
+    keep = np.repeat(sets > 1, sets)
+    for g in range(2, _FEW_SETS + 1):
+        at = begin[sets == g][:, None] + np.arange(g)
+        keep[at] = _reaching(n[at], pos[at])
+    sets = np.repeat(np.add.reduceat(keep, begin, dtype=np.int64), sets)
+    return [c[keep] for c in (key.astype(np.int64), mark, n, pos, sets)]
+
+
+def _owner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed keys in the order of their ranges to the keys of several sets."""
+
+    def found(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        cols = _several(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+        for a in range(0, len(cols[0]), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000]) for c in cols], names=["key", "mark", "n", "pos", "rows"])
+
+    parts, now = [], None
+    for batch in batches:
+        for place, size, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if place != now and parts:
+                yield from found(parts)
+                parts = []
+            now = place
+            steps, *others = _unpack(blob, size, *_PACKED)
+            parts.append([np.cumsum(steps), *others])
+    if parts:
+        yield from found(parts)
+    give_back()
+
+
 def _segments(classes, pivots: np.ndarray) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -239,18 +343,19 @@ class Join:
         self.links: list[DataFrame] = []
 
     def shared(self) -> DataFrame:
-        """Prefix keys that several nodes have, one row per node and key, with the key's number of nodes. Each task sent a
-        set's prefix once, so a node has few rows of a key that are alike."""
-        # Sets go by 64-bit marks here. Two sets under one mark give candidates too many, except that a key of just these two
-        # would be taken for one set's: a chance of 2^-64 for such a key.
-        spread = self.prefixes.filter(F.col("prefix").isNotNull()).select(F.xxhash64("sig").alias("mark"), "n", F.posexplode("prefix").alias("pos", "key"))
-        several = spread.groupBy("key").agg(F.min("mark").alias("least"), F.max("mark").alias("most"), F.count("*").alias("rows")).filter("least <> most").select("key", "rows")
-        several = self.work.cut(several, "several")
-        side = F.broadcast(several) if fits(several, self.broadcast_rows // 4) else several
-        marked = self.nodes.select(F.xxhash64("sig").alias("mark"), "node", "n")
-        shared = spread.join(side, "key").join(marked, ["mark", "n"]).select("key", "node", "n", "pos", "rows")
-        shared = self.work.cut(shared.distinct(), "shared")
-        self.work.drop("prefixes", "several")
+        """Prefix keys that several nodes have, one row per node and key, with the key's number of nodes."""
+        # Sets go by 64-bit marks here. Two sets under one mark give candidates too many, except that they count as one set of
+        # their keys: a chance of 2^-64 for a key that it matters to.
+        mark = F.xxhash64("sig").alias("mark")
+        many = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        keys = (self.prefixes.agg(F.sum("n")).first()[0] or 0) * (100 - PERCENT) // 100
+        ranges = max(4 * many, keys // RANGE_KEYS, 1)
+        sent = self.prefixes.filter(F.col("prefix").isNotNull()).select(mark, "n", "prefix").mapInArrow(_packs((ranges - 1).bit_length()), "range int, size long, blob binary")
+        owned = sent.repartition("range").sortWithinPartitions("range").mapInArrow(_owner, "key long, mark long, n long, pos long, rows long")
+        owned = self.work.cut(owned, "owned")
+        marked = self.nodes.select(mark, "node", "n")
+        shared = self.work.cut(owned.join(marked, ["mark", "n"]).select("key", "node", "n", "pos", "rows"), "shared")
+        self.work.drop("prefixes", "owned")
         return shared
 
     def with_comps(self, shared: DataFrame) -> DataFrame:
@@ -347,6 +452,7 @@ class Join:
         for turn in range(turns):
             links = self.test(self.chain(shared, turn), f"chain{turn}")
             self.merge(links, f"chain{turn}")
+            shared = shared.filter("rows > 2")  # the only pair of two has been made
         self.merge(self.test(self.across(shared), "across"), "across")
         self.work.drop("shared", "mixed")
         self.classes.destroy()  # all that needed it is written
