@@ -1,4 +1,4 @@
-"""What the n-gram join must not do at size: send its keys twice."""
+"""What the n-gram join and the tokenizer must not do at size: send keys twice, sort in every step."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import public_tokenizers
+import pytest
 
-from sparkloom.llm import ngram_join
+from sparkloom.llm import bpe, ngram_join
 
 
 def _shuffled(spark) -> int:
@@ -61,3 +63,31 @@ def test_packed_columns_read_back():
     a, b = np.arange(7, dtype="<u8") * np.uint64(2**50 + 3), np.arange(7, dtype="<u4")
     c, d = ngram_join._unpack(ngram_join._pack(a, b), 7, "<u8", "<u4")
     assert c.tolist() == a.tolist() and d.tolist() == b.tolist()
+
+
+@pytest.fixture(scope="module")
+def coder():
+    return bpe.Bpe(bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
+
+
+def test_ordinary_words_are_contracted_without_sorts_in_the_steps(coder, monkeypatch):
+    ran = []
+    db = coder._open()
+    class Spy:  # noqa: E306
+        def __getattr__(self, name):
+            return getattr(db, name)
+        def sql(self, query, params):  # noqa: E301
+            ran.append(db.sql("explain " + query, params=params).fetchall()[0][1])
+            return db.sql(query, params=params)
+    monkeypatch.setattr(coder, "db", Spy())
+    coder._contract([b"unbelievabilities", b"zxcvbnmasd"])
+    assert ran and all("streaming window" in x.lower().replace("_", " ") for x in ran)
+
+
+def test_rows_out_of_order_are_sorted(coder, monkeypatch):
+    words = [f" zq{i}xk{i * i}unlikely".encode() for i in range(300)]
+    want = coder._contract(words)
+    wrong = bpe._CONTRACT_IN_ORDER.replace("from state where todo > 0)", "from (select * from state where todo > 0 order by place desc))")
+    assert wrong != bpe._CONTRACT_IN_ORDER
+    monkeypatch.setattr(bpe, "_CONTRACT_IN_ORDER", wrong)
+    assert coder._contract(words) == want
